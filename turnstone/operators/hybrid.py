@@ -11,6 +11,7 @@ from turnstone.functions import search as fx
 from turnstone.functions import text as tx
 from turnstone.operators import keyword, vector
 from turnstone.operators.bounds import broadcast_if_small, fits
+from turnstone.session import ensure_checkpoint_dir
 from turnstone.settings import DEFAULTS, Settings
 
 
@@ -65,8 +66,9 @@ def matching_queries(queries: DataFrame, episodes: DataFrame,
     for number in range(n_blocks):
         block = distinct.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == number)
         rules = block.agg(F.collect_list(F.struct("*")).alias("rules")).scalar()
-        met = places.select(F.explode(F.filter(rules, lambda f: fx.passes_filter(
-            F.col("ep_guest"), F.col("publish_date"), f["guest"], f["since"], f["until"])
+        met = places.withColumn("rules", rules).select(F.explode(F.filter(
+            "rules", lambda f: fx.passes_filter(
+                F.col("ep_guest"), F.col("publish_date"), f["guest"], f["since"], f["until"])
         )).alias("f")).select("f.key").distinct()
         seen = met if seen is None else seen.unionByName(met)
     return asked.join(seen, "key", "left_semi").select("query_id")
@@ -100,7 +102,9 @@ def search(queries: DataFrame, chunks: DataFrame, episodes: DataFrame,
            settings: Settings = DEFAULTS) -> Search:
     """``queries(query_id, query, vector[, guest, since, until, top_k])`` against
     ``chunks`` and ``episodes``."""
-    asked = queries.where(tx.strip(F.coalesce("query", F.lit(""))) != "")
+    ensure_checkpoint_dir(chunks.sparkSession)
+    # Both arms and every size check read the queries: materialised once.
+    asked = queries.where(tx.strip(F.coalesce("query", F.lit(""))) != "").checkpoint()
     filtered = is_filtered(asked)
     reachable = asked
     unmatched = None
@@ -110,8 +114,8 @@ def search(queries: DataFrame, chunks: DataFrame, episodes: DataFrame,
                  & F.col("since").isNull() & F.col("until").isNull())
         met = matching_queries(asked, episodes, settings)
         filtered_ids = with_rules.where(~plain).select("query_id")
-        unmatched = filtered_ids.join(met, "query_id", "left_anti")
-        reachable = asked.join(unmatched, "query_id", "left_anti")
+        unmatched = filtered_ids.join(met, "query_id", "left_anti").checkpoint()
+        reachable = asked.join(unmatched, "query_id", "left_anti").checkpoint()
     located = chunks
     if filtered:
         located = chunks.select("chunk_id", "episode_id", "embedding", "is_sponsor").join(

@@ -73,8 +73,8 @@ def _vocabulary(qterms: DataFrame, settings: Settings) -> DataFrame:
 def matches(queries: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Every (query, chunk) where the chunk holds all the query's terms:
     ``query_id, chunk_id, score``."""
-    qterms = query_terms(queries)
     ensure_checkpoint_dir(chunks.sparkSession)
+    qterms = query_terms(queries).checkpoint()
     # Used four times below, and far smaller than the corpus: written once.
     table = term_table(chunks, _vocabulary(qterms, settings)).checkpoint()
 
@@ -91,7 +91,7 @@ def matches(queries: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS
         F.row_number().over(rarity).alias("_nth"),
         F.count("*").over(Window.partitionBy("query_id")).alias("_known"),
     ).where(F.col("_known") == F.col("n_terms")).drop("_known")
-    weighted = broadcast_if_small(weighted, settings)
+    weighted = broadcast_if_small(weighted.checkpoint(), settings)
 
     entry = weighted.where(F.col("_nth") == 1).select("query_id", "term")
     candidates = table.join(entry, "term").select("query_id", "chunk_id", "length")

@@ -38,6 +38,13 @@ LAYOUTS = (
 )
 
 
+def _computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row. A plain projection would be
+    inlined wherever it is used, lambdas and pushed-down filters included, which
+    repeats the work per array element; a generator of one row is not."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def _group(head: Column, layout: Layout, group: int | None) -> Column:
     if group is None:
         return F.lit(None).cast("string")
@@ -55,25 +62,27 @@ def _with_layout(df: DataFrame, lines: str, layout: Layout, wanted: Column) -> D
         return F.struct(m["i"].alias("i"), _group(m["head"], layout, layout.speaker).alias("speaker"),
                         _group(m["head"], layout, layout.time).alias("time"))
 
-    m, heads, openers, body, turns = (
-        f"_{part}_{layout.name}" for part in ("lines", "heads", "openers", "body", "turns"))
-    df = df.withColumn(m, F.when(wanted, F.transform(lines, marked)))
-    df = df.withColumn(heads, F.transform(F.filter(m, lambda x: x["head"].isNotNull()), header))
+    m, w, turns = f"_lines_{layout.name}", f"_work_{layout.name}", f"_turns_{layout.name}"
+    df = _computed(df, m, F.when(wanted, F.transform(lines, marked)))
+    heads = F.transform(F.filter(m, lambda x: x["head"].isNotNull()), header)
     # A header without a speaker continues the turn that is open; the first
     # header of the file has none to continue.
-    df = df.withColumn(openers, F.filter(heads, lambda h, k: h["speaker"].isNotNull() | (k == 0)))
-    df = df.withColumn(body, F.transform(m, lambda x: F.when(x["head"].isNull(), x["line"]).otherwise(
-        _group(x["head"], layout, layout.text))))
+    openers = F.filter(heads, lambda h, k: h["speaker"].isNotNull() | (k == 0))
+    body = F.transform(m, lambda x: F.when(x["head"].isNull(), x["line"]).otherwise(
+        _group(x["head"], layout, layout.text)))
+    df = _computed(df, w, F.struct(openers.alias("openers"), body.alias("body"),
+                                   F.size(m).alias("n")))
 
     def turn(o, k):
-        upto = F.coalesce(F.get(F.col(openers), k + 1)["i"], F.size(m))
+        upto = F.coalesce(F.get(F.col(f"{w}.openers"), k + 1)["i"], F.col(f"{w}.n"))
+        text = F.array_join(F.slice(F.col(f"{w}.body"), o["i"] + 1, upto - o["i"]), "\n")
         return F.struct(
             F.coalesce(o["speaker"], F.lit(UNKNOWN_SPEAKER)).alias("speaker"),
             F.when(o["time"].isNotNull(), tx.clock_to_seconds(o["time"])).alias("start_seconds"),
-            tx.strip(F.array_join(F.slice(body, o["i"] + 1, upto - o["i"]), "\n")).alias("text"))
+            tx.strip(text).alias("text"))
 
-    df = df.withColumn(turns, F.filter(F.transform(openers, turn), lambda t: t["text"] != ""))
-    return df.drop(m, heads, openers, body)
+    found = F.filter(F.transform(f"{w}.openers", turn), lambda t: t["text"] != "")
+    return _computed(df, turns, found).drop(m, w)
 
 
 def parse_turns(df: DataFrame, body: str = "body", settings: Settings = DEFAULTS) -> DataFrame:
@@ -81,7 +90,7 @@ def parse_turns(df: DataFrame, body: str = "body", settings: Settings = DEFAULTS
     The first layout that yields a turn holds for the whole file; a body in no
     known layout gets an empty array."""
     keep = df.columns
-    out = df.withColumn("_lines", tx.lines(F.col(body)))
+    out = _computed(df, "_lines", tx.lines(F.col(body)))
     missing = F.lit(True)
     found = []
     for layout in LAYOUTS:
@@ -89,7 +98,7 @@ def parse_turns(df: DataFrame, body: str = "body", settings: Settings = DEFAULTS
         turns = F.col(f"_turns_{layout.name}")
         found.append(F.when(F.size(turns) > 0, turns))
         missing = missing & ~F.coalesce(F.size(turns) > 0, F.lit(False))
-    out = out.withColumn("_turns", F.coalesce(*found, F.array().cast(
+    out = _computed(out, "_turns", F.coalesce(*found, F.array().cast(
         "array<struct<speaker:string,start_seconds:int,text:string>>")))
     return flag_ads(out.select(*keep, "_turns"), "_turns", settings).drop("_turns")
 
@@ -113,12 +122,10 @@ def flag_ads(df: DataFrame, turns: str, settings: Settings = DEFAULTS) -> DataFr
 
     word = F.array_join(F.transform(turns, letter), "")
     hanging = F.regexp_replace(word, r"(?:(?<=[oO])|\G(?!\A))f", "s")
-    df = df.withColumn("_marks", F.split(hanging, ""))
-    flagged = F.transform(turns, lambda t, i: F.struct(
+    flagged = F.zip_with(turns, F.split(hanging, ""), lambda t, mark: F.struct(
         t["speaker"].alias("speaker"), t["start_seconds"].alias("start_seconds"),
-        t["text"].alias("text"),
-        F.coalesce(F.get(F.col("_marks"), i).isin("o", "O", "s"), F.lit(False)).alias("is_sponsor")))
-    return df.withColumn("turns", flagged).drop("_marks")
+        t["text"].alias("text"), mark.isin("o", "O", "s").alias("is_sponsor")))
+    return _computed(df, "turns", F.slice(flagged, 1, F.size(turns)))
 
 
 def explode_turns(df: DataFrame, *keys: str) -> DataFrame:
