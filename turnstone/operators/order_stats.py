@@ -50,14 +50,15 @@ def order_statistics(counts: DataFrame, keys: Sequence[str], value: str,
     within = Window.partitionBy(*keys, "_slice").orderBy(value)
     reached = sliced.join(needed, [*keys, "_slice"]).withColumn(
         "_upto", F.col("_start") + F.sum("n").over(within))
-    first_at = [
-        F.min(F.when(F.col("_upto") >= F.get(F.filter(
-            "_ws", lambda w, name=name: w["name"] == name), F.lit(0))["rank"],
-            F.col(value))).alias(name)
-        for name in ranks]
+    first_at = [F.min(F.when(F.col("_upto") >= _rank_of(name), F.col(value))).alias(name)
+                for name in ranks]
     return reached.groupBy(*keys).agg(F.max("total").alias("total"), *first_at)
 
 
+def _rank_of(name: str) -> Column:
+    return F.get(F.filter("_ws", lambda w: w["name"] == name), F.lit(0))["rank"]
+
+
 def index_rank(fraction: float) -> Column:
     """Rank of ``sorted(values)[int(fraction * n)]``."""
     return F.floor(F.lit(fraction) * F.col("total")) + 1

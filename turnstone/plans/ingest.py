@@ -24,7 +24,10 @@ def resolve(files: DataFrame, stored: DataFrame, force: bool = False,
             same: Callable[[str, str], bool] | None = None) -> DataFrame:
     """Parsed files with their final ``video_id`` and ``outcome``: ingest,
     unchanged, duplicate or collision."""
-    decided = dedup.drop_borrowed(dedup.decide(files, settings, same))
+    return outcomes(dedup.drop_borrowed(dedup.decide(files, settings, same)), stored, force)
+
+
+def outcomes(decided: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
     copies = decided.where(F.col("decision") == dedup.DUPLICATE)
     others = dedup.first_per_id(decided.where(F.col("decision") != dedup.DUPLICATE))
     known = stored.select("video_id", "content_hash", F.lit(True).alias("_known"))
@@ -102,9 +105,9 @@ def _ingest(spark, files, store, force, make_encoder, settings, run_id) -> dict:
     fresh = new.withColumn("ingested_at", F.current_timestamp()).withColumn(
         "run_id", F.lit(run_id)).select(stored.columns)
     store.commit(maintain.upsert(stored, fresh), run_id)
-    outcomes = resolved.select("outcome").unionByName(
+    every = resolved.select("outcome").unionByName(
         errors.select(F.lit(PARSE_ERROR).alias("outcome")))
-    return counters(outcomes, written).first().asDict()
+    return counters(every, written).first().asDict()
 
 
 def prune(spark: SparkSession, root: str, store: Store, subset: bool = False,
