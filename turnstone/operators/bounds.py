@@ -20,17 +20,26 @@ def _width(field: T.StructField) -> Column:
     return F.lit(8)
 
 
-def fits(df: DataFrame, settings: Settings = DEFAULTS) -> bool:
+def fits(df: DataFrame, settings: Settings = DEFAULTS, rows: int | None = None) -> bool:
     """True when ``df`` has at most the allowed rows and bytes. Reads no more
     than one row past the bound."""
+    rows = rows or settings.broadcast_rows
     width = F.lit(0).cast("long")
     for field in df.schema.fields:
         width = width + _width(field)
-    seen = df.limit(settings.broadcast_rows + 1).agg(
+    seen = df.limit(rows + 1).agg(
         F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
-    return seen.n <= settings.broadcast_rows and seen.b <= settings.broadcast_bytes
+    return seen.n <= rows and seen.b <= settings.broadcast_bytes
 
 
 def broadcast_if_small(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """A broadcast hint when the check allows it; otherwise the join shuffles."""
     return F.broadcast(df) if fits(df, settings) else df
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A file scan with fewer partitions than the cluster has cores, split by
+    ``key`` for the work ahead. A large scan is left as it is: its own splits
+    keep every core busy and nothing is shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan

@@ -10,7 +10,7 @@ handful of texts just kept.
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable
+from itertools import chain, repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,41 +20,51 @@ from turnstone.session import ensure_checkpoint_dir
 from turnstone.settings import DEFAULTS, Settings
 
 KEEP, DUPLICATE, BORROWED = "keep", "duplicate", "borrowed"
-PER_ROUND = 32
+PER_ROUND = (32, 64, 128, 256)  # texts settled per id and round; the last one repeats
 PART_ROWS = 5_000
 
 
-def same_by_sequence(ratio: float) -> Callable[[str, str], bool]:
+class BySequence:
     """Matching-block similarity above ``ratio``. The two cheap bounds are upper
     bounds, so they only skip comparisons that must fail."""
 
-    def same(a: str, b: str) -> bool:
-        m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-        return (m.real_quick_ratio() > ratio and m.quick_ratio() > ratio
-                and m.ratio() > ratio)
+    def __init__(self, ratio: float):
+        self.ratio = ratio
+
+    def prepare(self, text: str) -> str:
+        return text
 
-    return same
+    def alike(self, a: str, b: str) -> bool:
+        m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        return (m.real_quick_ratio() > self.ratio and m.quick_ratio() > self.ratio
+                and m.ratio() > self.ratio)
 
 
-def same_by_shingles(threshold: float, n: int = 3) -> Callable[[str, str], bool]:
+class ByShingles:
     """Jaccard overlap of word ``n``-grams at or above ``threshold``."""
 
-    def shingles(text: str) -> set:
-        w = text.split()
-        return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)}
+    def __init__(self, threshold: float, n: int = 3):
+        self.threshold, self.n = threshold, n
 
-    def same(a: str, b: str) -> bool:
-        x, y = shingles(a), shingles(b)
-        return bool(x or y) and len(x & y) >= threshold * len(x | y) or a == b
+    def prepare(self, text: str) -> tuple[str, frozenset]:
+        w = text.split()
+        return text, frozenset(zip(*(w[i:] for i in range(self.n)), strict=False))
 
-    return same
+    def alike(self, a, b) -> bool:
+        x, y = a[1], b[1]
+        if a[0] == b[0]:
+            return True
+        if min(len(x), len(y)) < self.threshold * max(len(x), len(y)) or not (x or y):
+            return False
+        shared = len(x & y)
+        return shared >= self.threshold * (len(x) + len(y) - shared)
 
 
 def decide_copies(files: DataFrame, settings: Settings = DEFAULTS,
-                  same: Callable[[str, str], bool] | None = None) -> DataFrame:
+                  same: BySequence | ByShingles | None = None) -> DataFrame:
     """``source_path, decision`` (keep or duplicate) for every file whose
     ``video_id`` another file also has."""
-    same = same or same_by_sequence(settings.same_text_ratio)
+    same = same or BySequence(settings.same_text_ratio)
     ensure_checkpoint_dir(files.sparkSession)
     heads = files.select("source_path", "video_id",
                          F.substring("body", 1, settings.compare_chars).alias("head"))
@@ -69,10 +79,12 @@ def decide_copies(files: DataFrame, settings: Settings = DEFAULTS,
         "video_id", "source_path", "head").checkpoint()
 
     settled = []
-    while not undecided.isEmpty():
+    for take in chain(PER_ROUND, repeat(PER_ROUND[-1])):
+        if undecided.isEmpty():
+            break
         w = Window.partitionBy("video_id").orderBy("source_path")
         batch = undecided.withColumn("_rn", F.row_number().over(w)).where(
-            F.col("_rn") <= PER_ROUND).drop("_rn")
+            F.col("_rn") <= take).drop("_rn")
         judged = batch.groupBy("video_id").applyInPandas(
             _greedy(same), "video_id string, source_path string, head string, kept boolean"
         ).checkpoint()
@@ -92,10 +104,10 @@ def decide_copies(files: DataFrame, settings: Settings = DEFAULTS,
 def _greedy(same):
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("source_path")
-        kept: list[str] = []
+        kept: list = []
         flags = []
-        for head in group["head"]:
-            fresh = not any(same(head, k) for k in kept)
+        for head in map(same.prepare, group["head"]):
+            fresh = not any(same.alike(head, k) for k in kept)
             flags.append(fresh)
             if fresh:
                 kept.append(head)
@@ -115,8 +127,8 @@ def _compare(rest: DataFrame, kept: DataFrame, same) -> DataFrame:
         "video_id", "head", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        new = b["head"].tolist()
-        copies = [any(same(h, k) for k in new) for h in a["head"]]
+        new = [same.prepare(h) for h in b["head"]]
+        copies = [any(same.alike(h, k) for k in new) for h in map(same.prepare, a["head"])]
         return a.assign(copy=pd.Series(copies, index=a.index, dtype=bool))[
             ["video_id", "source_path", "head", "copy"]]
 
@@ -142,7 +154,7 @@ def metadata_owners(members: DataFrame) -> DataFrame:
 
 
 def decide(files: DataFrame, settings: Settings = DEFAULTS,
-           same: Callable[[str, str], bool] | None = None) -> DataFrame:
+           same: BySequence | ByShingles | None = None) -> DataFrame:
     """Every file with ``decision``: keep, duplicate or borrowed."""
     copies = decide_copies(files, settings, same)
     kept = files.join(copies.where(F.col("decision") == KEEP), "source_path", "left_semi").select(

@@ -61,7 +61,8 @@ def matching_queries(queries: DataFrame, episodes: DataFrame,
     asked = q.withColumn("key", F.to_json(F.struct("guest", "since", "until")))
     places = episodes.select(F.lower("guest").alias("ep_guest"), "publish_date").distinct()
     distinct = asked.select("key", "guest", "since", "until").distinct()
-    n_blocks = 1 if fits(distinct, settings) else -(-distinct.count() // settings.broadcast_rows) + 1
+    few = fits(distinct, settings, settings.query_rows)
+    n_blocks = 1 if few else -(-distinct.count() // settings.query_rows) + 1
     seen = None
     for number in range(n_blocks):
         block = distinct.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == number)
@@ -224,7 +225,7 @@ def passage_summary(enriched: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 # What joins several people in one guest field.
-GUEST_JOINERS = r"\s*(?:\+|,|&|\band\b)\s*"
+GUEST_JOINERS = r"(?U)\s*(?:\+|,|&|\band\b)\s*"
 
 
 def guest_names(episodes: DataFrame) -> DataFrame:
@@ -239,25 +240,34 @@ def guests_named(messages: DataFrame, episodes: DataFrame,
                  settings: Settings = DEFAULTS) -> DataFrame:
     """``message_id, name`` for every known guest a message names in full.
 
-    A name can only be in a message that has its longest word, so messages and
-    names meet on that word and only those pairs are compared.
+    A message with a name has the name's words in a row, so messages and names
+    meet on the name's longest pair of neighbouring words (or its only word), and
+    only those pairs are compared.
     """
-    word = r"(?U)\w+"
-    names = guest_names(episodes).withColumn("_ws", F.regexp_extract_all(
-        F.lower("name"), F.lit(word), F.lit(0)))
-    longest = F.get(F.array_sort("_ws", lambda a, b: F.when(
-        F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(
-        a > b, 1).otherwise(0)), F.lit(0))
-    names = names.select("name", F.coalesce(longest, F.lit("")).alias("_w"))
-    said = messages.select("message_id", F.explode(F.array_union(
-        F.array(F.lit("")), F.regexp_extract_all(F.lower("message"), F.lit(word), F.lit(0))
-    )).alias("_w"))
-    maybe = said.join(broadcast_if_small(names, settings), "_w").select("message_id", "name")
+    names = guest_names(episodes).withColumn("_ws", _words("name")).select(
+        "name", F.explode(F.when(F.size("_ws") > 1, _pairs("_ws")).otherwise(
+            F.coalesce(F.nullif(F.col("_ws"), F.array().cast("array<string>")),
+                       F.array(F.lit(""))))).alias("_key"))
+    names = names.groupBy("name").agg(F.max_by("_key", F.struct(F.length("_key"), "_key")).alias("_key"))
+    said = messages.select("message_id", _words("message").alias("_ws")).select(
+        "message_id", F.explode(F.array_distinct(F.concat(
+            F.array(F.lit("")), "_ws", _pairs("_ws")))).alias("_key"))
+    maybe = said.join(broadcast_if_small(names, settings), "_key").select("message_id", "name")
     pairs = messages.select("message_id", "message").join(maybe, "message_id")
     whole = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.col("name"), F.lit(r"\E(?!\w)"))
     return pairs.where(F.regexp_like("message", whole)).select("message_id", "name")
 
 
+def _words(column: str) -> Column:
+    return F.regexp_extract_all(F.lower(column), F.lit(r"(?U)\w+"), F.lit(0))
+
+
+def _pairs(words: str) -> Column:
+    both = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
+                      F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(words) > 1, both).otherwise(F.array().cast("array<string>"))
+
+
 def single_guest(messages: DataFrame, episodes: DataFrame,
                  settings: Settings = DEFAULTS) -> DataFrame:
     """The guest to filter by: set only where a message names exactly one."""

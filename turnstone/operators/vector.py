@@ -210,8 +210,8 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int | None = None,
         T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
         T.StructField("similarity", T.DoubleType())])
     candidates = _candidates(chunks, filtered)
-    head = packed.limit(settings.broadcast_rows + 1).toArrow()
-    if head.num_rows <= settings.broadcast_rows and head.nbytes <= settings.broadcast_bytes:
+    head = packed.limit(settings.query_rows + 1).toArrow()
+    if head.num_rows <= settings.query_rows and head.nbytes <= settings.broadcast_bytes:
         found = _scan_with_broadcast(candidates, QueryBlock.from_arrow(head), k, out)
     else:
         found = _scan_in_blocks(packed, candidates, k, out, settings)
@@ -233,7 +233,7 @@ def _scan_with_broadcast(candidates: DataFrame, block: QueryBlock, k: int,
 
 def _scan_in_blocks(packed: DataFrame, candidates: DataFrame, k: int, out: T.StructType,
                     settings: Settings) -> DataFrame:
-    block_rows = max(1, settings.broadcast_rows // 4)
+    block_rows = max(1, settings.query_rows // 4)
     n_blocks = -(-packed.count() // block_rows)
     n_parts = max(1, -(-candidates.count() // GROUP_ROWS))
     q = packed.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn(
@@ -293,8 +293,8 @@ def nearest_probed(queries: DataFrame, listed: DataFrame, centres: np.ndarray, p
     packed = _packed_queries(queries).select(
         "query_id", "vector", *[F.lit(None).cast(t).alias(n) for n, t in (
             ("guest", "string"), ("since", "int"), ("until", "int"))])
-    head = packed.limit(settings.broadcast_rows + 1).toArrow()
-    if head.num_rows > settings.broadcast_rows or head.nbytes > settings.broadcast_bytes:
+    head = packed.limit(settings.query_rows + 1).toArrow()
+    if head.num_rows > settings.query_rows or head.nbytes > settings.broadcast_bytes:
         return nearest(queries, listed, k, settings, filtered=False)
     block = QueryBlock.from_arrow(head)
     near = np.argsort(-(block.q @ _unit(np.asarray(centres)).T), axis=1)[:, :probes]

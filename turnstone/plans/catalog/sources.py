@@ -279,7 +279,7 @@ outcomes AS (
     ELSE 'ingest' END AS outcome
   FROM named_again n)"""
 RECURSIVE = t.with_sql(FILES_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
-SAME = dedup.same_by_shingles(0.5)
+SAME = dedup.ByShingles(0.5)
 
 
 def _stored(resolved_like):

@@ -9,10 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as tx
+from turnstone.operators.bounds import spread
+
+
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}  # tables whose rows are heavy work
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def text_of(*parts) -> Column:

@@ -21,7 +21,7 @@ INGEST, UNCHANGED, COLLISION, PARSE_ERROR = "ingest", "unchanged", "collision",
 
 def resolve(files: DataFrame, stored: DataFrame, force: bool = False,
             settings: Settings = DEFAULTS,
-            same: Callable[[str, str], bool] | None = None) -> DataFrame:
+            same: dedup.BySequence | dedup.ByShingles | None = None) -> DataFrame:
     """Parsed files with their final ``video_id`` and ``outcome``: ingest,
     unchanged, duplicate or collision."""
     return outcomes(dedup.drop_borrowed(dedup.decide(files, settings, same)), stored, force)

@@ -53,8 +53,10 @@ class Settings:
     max_false_ground_rate: float = 0.0
     max_p95_ms: float = 1500.0
     max_failure_ratio: float = 0.01
+    # Queries (or filters) one task scores at a time; more go in blocks.
+    query_rows: int = 8192
     # A side is broadcast only when a count shows it is under both bounds.
-    broadcast_rows: int = 8192
+    broadcast_rows: int = 1_000_000
     broadcast_bytes: int = 64 * 1024 * 1024
 
 
