@@ -226,3 +226,17 @@ def test_encoder_modes_and_nulls(spark):
     assert [r.embedding for r in embed.embed_passages(df, Lengths).collect()] == [[3.0, 0.0], None]
     q = spark.createDataFrame([("abc",)], "query string")
     assert embed.embed_queries(q, Lengths).first().vector == [3.0, 1.0]
+
+
+def test_json_sources_and_summary(spark, tmp_path):
+    from turnstone.sources import evaluation
+
+    (tmp_path / "g.json").write_text('{"query_id":"1","query":"q","category":"in_domain","expect_grounded":true}\n')
+    (tmp_path / "s.json").write_text('{"scenario":"a","turn_no":0,"max_calls":{"search":1}}\n{"scenario":"b","slow":true,"turn_no":0}\n')
+    (tmp_path / "r.json").write_text('{"ts":"2024-01-01T00:00:00Z","type":"GET","name":"/a","ms":5.0,"failed":false}\n')
+    assert evaluation.golden(spark, str(tmp_path / "g.json")).first().expect_guest is None
+    assert evaluation.expectations(spark, str(tmp_path / "s.json")).count() == 2
+    assert evaluation.expectations(spark, str(tmp_path / "s.json"), include_slow=False).first().max_calls == {"search": 1}
+    gate = load_report.load_gate(load_report.request_summary(evaluation.request_log(spark, str(tmp_path / "r.json"))))
+    evaluation.write_summary(gate, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).first().passed

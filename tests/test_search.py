@@ -197,6 +197,20 @@ def test_guests_in_messages(spark):
     assert one[0] == "Ana Bell" and one[1] is None
 
 
+def test_guest_taken_from_the_message(spark):
+    eps = spark.createDataFrame([("Ana Bell",), ("Rex Moor",)], "guest string")
+    q = spark.createDataFrame([("a", "ask ana bell", None), ("b", "ask ana bell", "Rex"), ("c", "ana bell or rex moor", "")],
+                              "query_id string, message string, guest string")
+    assert {r.query_id: r.guest for r in hybrid.with_detected_guest(q, eps).collect()} == {"a": "Ana Bell", "b": "Rex", "c": None}
+
+
+def test_stored_term_table_equals_the_computed_one(spark, tmp_path):
+    c, _, _ = make(spark, CHUNKS, EPISODES, [])
+    keyword.store_term_table(c, str(tmp_path / "terms"), buckets=4)
+    key = lambda df: {(r.chunk_id, r.length, r.term, r.tf) for r in df.collect()}
+    assert key(spark.read.parquet(str(tmp_path / "terms"))) == key(keyword.term_table(c))
+
+
 def test_date_phrases(spark):
     df = spark.createDataFrame([("since 2023",), ("after 2023 and before 2025",), ("UNTIL 2024",), ("in 2023",)], "q string")
     got = [tuple(r.d) for r in df.select(fx.date_phrases(F.col("q")).alias("d")).collect()]

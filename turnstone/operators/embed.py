@@ -65,14 +65,16 @@ def encoder_column(source: Column, make: Callable[[], object], mode: str) -> Col
     return encode(source)
 
 
-def _input(text: str, encoder_wants: str) -> Column:
-    return tx.terms(F.col(text)) if encoder_wants == "terms" else F.col(text)
+def _input(df: DataFrame, text: str, make: Callable[[], object]) -> Column:
+    if getattr(make, "wants", "terms") != "terms":
+        return F.col(text)
+    return F.col("terms") if "terms" in df.columns else tx.terms(F.col(text))
 
 
 def embed_passages(chunks: DataFrame, make: Callable[[], object] = HashedTerms,
                    text: str = "text") -> DataFrame:
     """``chunks`` with ``embedding``; advertisements are never encoded."""
-    source = _input(text, getattr(make, "wants", "terms"))
+    source = _input(chunks, text, make)
     if "is_sponsor" in chunks.columns:
         source = F.when(~F.col("is_sponsor"), source)
     return chunks.withColumn("embedding", encoder_column(source, make, "passage"))
@@ -80,5 +82,5 @@ def embed_passages(chunks: DataFrame, make: Callable[[], object] = HashedTerms,
 
 def embed_queries(queries: DataFrame, make: Callable[[], object] = HashedTerms,
                   text: str = "query") -> DataFrame:
-    source = _input(text, getattr(make, "wants", "terms"))
+    source = _input(queries, text, make)
     return queries.withColumn("vector", encoder_column(source, make, "query"))

@@ -224,6 +224,19 @@ def passage_summary(enriched: DataFrame, queries: DataFrame) -> DataFrame:
         scope).alias("summary"))
 
 
+def search_summary(queries: DataFrame, verdicts: DataFrame, enriched: DataFrame) -> DataFrame:
+    """What a search came to, in a few words, for every query."""
+    q = vector.with_filters(queries).select(
+        "query_id", fx.filter_text(F.col("guest"), F.col("since"), F.col("until")).alias("f"))
+    found = passage_summary(enriched, queries)
+    missed = F.when(F.col("reason") == "no_matching_episodes",
+                    F.concat(F.lit("no episode matches "), F.col("f"))).when(
+        F.col("f") == "", F.lit("nothing relevant found")).otherwise(
+        F.concat(F.lit("nothing relevant found ("), F.col("f"), F.lit(")")))
+    return verdicts.join(q, "query_id").join(found, "query_id", "left").select(
+        "query_id", F.when(F.col("grounded"), F.col("summary")).otherwise(missed).alias("summary"))
+
+
 # What joins several people in one guest field.
 GUEST_JOINERS = r"(?U)\s*(?:\+|,|&|\band\b)\s*"
 
@@ -276,3 +289,16 @@ def single_guest(messages: DataFrame, episodes: DataFrame,
     return messages.select("message_id").join(named, "message_id", "left").select(
         "message_id", F.coalesce("n_named", F.lit(0)).alias("n_named"),
         F.when(F.col("n_named") == 1, F.col("_name")).alias("guest"))
+
+
+def with_detected_guest(queries: DataFrame, episodes: DataFrame,
+                        settings: Settings = DEFAULTS) -> DataFrame:
+    """Queries whose ``guest`` is filled in from the user's own ``message`` where
+    none was given and the message names exactly one."""
+    q = vector.with_filters(queries)
+    named = single_guest(q.select(F.col("query_id").alias("message_id"), "message"), episodes,
+                         settings).select(F.col("message_id").alias("query_id"),
+                                          F.col("guest").alias("_named"))
+    given = F.nullif(tx.strip(F.col("guest")), F.lit(""))
+    return q.join(named, "query_id", "left").withColumn(
+        "guest", F.coalesce(given, "_named")).drop("_named")

@@ -32,9 +32,12 @@ def session_detail(sessions: DataFrame, messages: DataFrame, order: str = "creat
     tie = [F.col(c) for c in (order, "message_id")]
     placed = numbered(messages, ["session_id"], tie, block, "position")
     counts = messages.groupBy("session_id").agg(F.count("*").alias("message_count"))
-    return (sessions.select("session_id", "title").join(counts, "session_id", "left")
-            .withColumn("message_count", F.coalesce("message_count", F.lit(0)))
-            .join(placed, "session_id", "left"))
+    info = sessions.select("session_id", "title").join(counts, "session_id", "left").withColumn(
+        "message_count", F.coalesce("message_count", F.lit(0)))
+    # An inner join plus the empty sessions: a session with most of the messages
+    # can then be split, which an outer join on this side does not allow.
+    full = placed.join(info, "session_id")
+    return full.unionByName(info.where("message_count = 0"), allowMissingColumns=True)
 
 
 def history_window(messages: DataFrame, n: int | None = None, order: str = "created_at",

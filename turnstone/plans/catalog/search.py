@@ -233,6 +233,21 @@ def passage_summary(spark, sf):
     return hybrid.passage_summary(_enriched(spark, sf, True), t.queries(spark, sf, True))
 
 
+@query("search_summary", t.with_sql(*FILTERED, *HITS, VERDICTS) + f""",
+n AS (SELECT query_id, count(*) AS n, count(DISTINCT title) AS m FROM {ENRICHED_SQL} GROUP BY query_id),
+f AS (SELECT query_id, {FILTER_TEXT_SQL} AS f FROM queries)
+SELECT v.query_id, CASE
+  WHEN grounded THEN n || ' passage' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' from ' || m || ' episode'
+    || CASE WHEN m = 1 THEN '' ELSE 's' END || CASE WHEN f = '' THEN '' ELSE ' (' || f || ')' END
+  WHEN reason = 'no_matching_episodes' THEN 'no episode matches ' || f
+  WHEN f = '' THEN 'nothing relevant found' ELSE 'nothing relevant found (' || f || ')' END AS summary
+FROM verdicts v JOIN f USING (query_id) LEFT JOIN n USING (query_id)""")
+def search_summary(spark, sf):
+    q, chunks, episodes = t.queries(spark, sf, True), t.chunks(spark, sf), t.episodes(spark, sf)
+    found = hybrid.search(q, chunks, episodes)
+    return hybrid.search_summary(q, found.verdicts, hybrid.enrich(found.hits, chunks, episodes))
+
+
 @query("filter_description", t.with_sql(t.FILTERED_SQL) + f"SELECT query_id, {FILTER_TEXT_SQL} AS description FROM queries")
 def filter_description(spark, sf):
     return t.queries(spark, sf, True).select("query_id", fx.filter_text(
