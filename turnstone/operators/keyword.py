@@ -41,11 +41,14 @@ def term_table(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFr
     vocabulary one ``EVERY_CHUNK`` row per chunk is included."""
     kept = chunks.where(~F.col("is_sponsor")) if "is_sponsor" in chunks.columns else chunks
     t = with_terms(kept).select("chunk_id", "terms")
+    # explode would add a filter on the array's size, and with it a second pass over
+    # the text; the outer form does not.
     if vocabulary is None:
-        t = t.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    else:
         t = t.select("chunk_id", F.size("terms").alias("length"),
-                     F.explode(F.concat(F.array(F.lit(EVERY_CHUNK)), "terms")).alias("term"))
+                     F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+    else:
+        t = t.select("chunk_id", F.size("terms").alias("length"), F.explode_outer(
+            F.concat(F.array(F.lit(EVERY_CHUNK)), "terms")).alias("term"))
         t = t.join(vocabulary, "term", "left_semi")
     return t.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
 

@@ -232,11 +232,11 @@ files AS (
          md5(concat_ws('/', lower(regexp_extract(text, '(\S+)', 1)), lang)) AS video_id,
          'Guest ' || source AS guest, 'A talk with guest src' || ((doc_id * 7 + 3) % 20) || ' again' AS title
   FROM documents),
-members AS (
+members AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY source_path) AS pos FROM files
   WHERE video_id IN (SELECT video_id FROM files GROUP BY video_id HAVING count(*) > 1)),
 ws AS (SELECT *, regexp_extract_all(head, '\S+') AS w FROM members),
-bags AS (SELECT *, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM ws),
+bags AS MATERIALIZED (SELECT *, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM ws),
 grams AS (SELECT video_id, pos, unnest(g) AS gram FROM bags),
 common AS (
   SELECT a.video_id, a.pos AS p, b.pos AS q, count(*) AS n FROM grams a JOIN grams b
@@ -246,7 +246,7 @@ alike AS (
     JOIN bags b ON b.video_id = c.video_id AND b.pos = c.q
   WHERE n >= 0.5 * (len(a.g) + len(b.g) - n)
   UNION SELECT a.video_id, a.pos, b.pos FROM bags a JOIN bags b ON a.video_id = b.video_id AND a.pos < b.pos AND a.head = b.head),
-near AS (SELECT video_id, q, list(p) AS ps FROM alike GROUP BY video_id, q),
+near AS MATERIALIZED (SELECT video_id, q, list(p) AS ps FROM alike GROUP BY video_id, q),
 walk(video_id, pos, kept) AS (
   SELECT DISTINCT video_id, CAST(1 AS BIGINT), [CAST(1 AS BIGINT)] FROM members
   UNION ALL
