@@ -21,13 +21,13 @@ def _width(field: T.StructField) -> Column:
 
 
 def fits(df: DataFrame, settings: Settings = DEFAULTS, rows: int | None = None) -> bool:
-    """True when ``df`` has at most the allowed rows and bytes. Reads no more
-    than one row past the bound."""
+    """True when ``df`` has at most the allowed rows and bytes: one aggregate that
+    every task combines first, so no row travels to be counted."""
     rows = rows or settings.broadcast_rows
     width = F.lit(0).cast("long")
     for field in df.schema.fields:
         width = width + _width(field)
-    seen = df.limit(rows + 1).agg(
+    seen = df.agg(
         F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
     return seen.n <= rows and seen.b <= settings.broadcast_bytes
 
