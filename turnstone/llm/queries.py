@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import (attention_quality, heavy_dedup, hilbert_shards, rank_queue_bpe, secret_scan,
+from turnstone.llm import (attention_quality, heavy_dedup, hilbert_shards, order_minhash, rank_queue_bpe, secret_scan,
                            token_counts, url_rules, window_match)
 from turnstone.llm.common import shared_path
 
@@ -25,6 +25,10 @@ def op1_hilbert_shards(spark, sf_dir) -> DataFrame:
     return hilbert_shards.assign(docs, dims)
 
 
+def op2_order_minhash(spark, sf_dir) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op3_rank_queue_bpe(spark, sf_dir) -> DataFrame:
     ids = rank_queue_bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     return rank_queue_bpe.decode(ids, RANKS, public_tokenizers.PATTERN).select(
@@ -103,6 +107,6 @@ FROM d LEFT JOIN nw ON d.doc_id = nw.doc_id LEFT JOIN ni ON d.doc_id = ni.doc_id
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_hilbert_shards, op3_rank_queue_bpe, op4_url_rules, op5_heavy_dedup, op6_attention_quality,
+    op1_hilbert_shards, op2_order_minhash, op3_rank_queue_bpe, op4_url_rules, op5_heavy_dedup, op6_attention_quality,
     op7_token_counts, op8_secret_scan, op9_window_match)}
 ORACLES = {"op4_url_rules": OP4_SQL, "op5_heavy_dedup": OP5_SQL, "op9_window_match": OP9_SQL}
