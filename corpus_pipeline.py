@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import attention_quality, heavy_dedup, rank_queue_bpe, window_match
+from turnstone.llm import attention_quality, heavy_dedup, order_minhash, rank_queue_bpe, window_match
 from turnstone.llm.common import written
 from turnstone.llm.queries import RANKS, table
 
@@ -21,6 +21,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return heavy_dedup.drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    return order_minhash.drop_near_copies(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents the benchmark contaminates."""
     judged = window_match.judge(docs, table(spark, sf_dir, "benchmark"))
@@ -35,7 +40,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("decontaminate", decontaminate), ("encode", encode)]
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
+          ("decontaminate", decontaminate), ("encode", encode)]
 ORACLE_SQL = None
 
 
