@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import (attention_quality, heavy_dedup, hilbert_shards, order_minhash, rank_queue_bpe, secret_scan,
+from turnstone.llm import (attention_quality, heavy_dedup, hilbert_shards, order_minhash, pitman_yor, rank_queue_bpe, secret_scan,
                            token_counts, url_rules, window_match)
-from turnstone.llm.common import shared_path
+from turnstone.llm.common import crc_mod, shared_path
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -106,7 +106,14 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN nw ON d.doc_id = nw.doc_id LEFT JOIN ni ON d.doc_id = ni.doc_id
 """
 
+
+def op10_pitman_yor(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = pitman_yor.fit(docs.where(crc_mod("doc_id", 7) != 2))
+    return pitman_yor.score(docs, model)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hilbert_shards, op2_order_minhash, op3_rank_queue_bpe, op4_url_rules, op5_heavy_dedup, op6_attention_quality,
-    op7_token_counts, op8_secret_scan, op9_window_match)}
+    op7_token_counts, op8_secret_scan, op9_window_match, op10_pitman_yor)}
 ORACLES = {"op4_url_rules": OP4_SQL, "op5_heavy_dedup": OP5_SQL, "op9_window_match": OP9_SQL}
