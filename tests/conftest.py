@@ -15,6 +15,8 @@ def spark(tmp_path_factory):
          .config("spark.ui.enabled", "false")
          .config("spark.driver.memory", "8g")
          .config("spark.driver.bindAddress", "127.0.0.1")
+         .config("spark.driver.host", "127.0.0.1")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
