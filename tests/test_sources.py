@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from turnstone.operators import dedup, maintain
 from turnstone.plans import ingest
 from turnstone.settings import Settings
-from turnstone.sources.store import Store
+from turnstone.sources.store import Conflict, Store
 from turnstone.streaming import ingest_stream, spans
 
 COLUMNS = "source_path string, guest string, title string, video_id string, body string"
@@ -103,8 +103,12 @@ def test_ingest_twice_edit_prune(spark, corpus, tmp_path):
     assert store.chunks().groupBy("episode_id", "ordinal").count().where("count > 1").isEmpty()
 
     (corpus / "episodes" / "casey" / "transcript.md").rename(corpus / "casey.md")
-    assert ingest.prune(spark, str(corpus), store) == ["v2"]
-    assert ingest.prune(spark, str(corpus), store) == []
+    assert [r.video_id for r in ingest.prune(spark, str(corpus), store).collect()] == ["v2"]
+    assert ingest.prune(spark, str(corpus), store).isEmpty()
+    runs = {r.run_id for r in store.episodes().collect()}
+    live = {tuple(r) for r in store.chunks().select("chunk_id", "run_id").collect()}
+    assert store.vacuum() and {tuple(r) for r in store.chunks().select("chunk_id", "run_id").collect()} == live
+    assert store.vacuum() == [] and {r.run_id for r in store.episodes().collect()} == runs
     assert {r.video_id for r in store.episodes().collect()} == {"v1", "slug:rex"}
     with pytest.raises(ValueError):
         ingest.prune(spark, str(corpus), store, subset=True)
@@ -138,6 +142,48 @@ def test_stream_picks_up_new_files_once(spark, corpus, tmp_path):
     assert {r.video_id for r in store.episodes().collect()} == {"v1", "v2", "slug:rex", "v9"}
 
 
+def test_second_stream_ingests_its_own_files(spark, corpus, tmp_path):
+    """Batch numbers start at zero again; the files must not be taken for done."""
+    store = Store(spark, str(tmp_path / "store"))
+    ingest_stream.start(spark, str(corpus), store, str(tmp_path / "cp")).awaitTermination()
+    other = tmp_path / "other"
+    write(other, "new", "Jo Li", "Jo Li on data", "v9", "Fresh words here.", "Jo")
+    write(other, "thief", "Casey Park", "Casey Park on hiring", "v2", "Not the stored talk at all.")
+    ingest_stream.start(spark, str(other), store, str(tmp_path / "cp2")).awaitTermination()
+    assert {r.video_id for r in store.episodes().collect()} == {"v1", "v2", "slug:rex", "v9"}
+    assert "casey" in store.episodes().where("video_id = 'v2'").first().source_path
+
+
+def test_one_of_two_competing_commits_wins(spark, corpus, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    ingest.run(spark, str(corpus), store)
+    base, rows = store.version(), store.episodes()
+    store.commit(rows.where("video_id = 'v1'"), "first", base)
+    with pytest.raises(Conflict):
+        store.commit(rows.where("video_id = 'v2'"), "second", base)
+    assert [r.video_id for r in store.episodes().collect()] == ["v1"] and store.version() == base + 1
+    assert store.committed("first") and not store.committed("second")
+    ingest._committed(store, "third", lambda now: now)
+    assert store.version() == base + 2
+
+
+def test_limit_takes_the_first_paths(spark, corpus):
+    from turnstone.sources import transcripts
+
+    got = transcripts.scan(spark, str(corpus), 2).collect()
+    assert sorted(r.source_path.split("/")[-2] for r in got) == ["ana", "ana-copy"] and all(r.raw for r in got)
+
+
+def test_keywords_of_any_kind_keep_the_file(spark):
+    from turnstone.sources import transcripts
+
+    raw = "---\nvideo_id: v\nkeywords:\n  growth: 1\n  hiring: 2\n---\nbody"
+    good, bad = transcripts.parse_files(spark.createDataFrame([("/a/t.md", raw)], "source_path string, raw string"))
+    assert good.first().keywords == ["growth", "hiring"] and bad.isEmpty()
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_span_stream(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()

@@ -123,7 +123,8 @@ def search(queries: DataFrame, chunks: DataFrame, episodes: DataFrame,
             episodes.select("episode_id", "guest", "publish_date"), "episode_id")
     v = vector.nearest(reachable, located, settings.pool, settings, filtered=filtered)
     t = keyword.ranked(reachable, chunks, episodes if filtered else None, settings.pool, settings)
-    top = cut(fuse(v, t, settings), reachable, settings)
+    # At most top_k rows per query; verdicts, enrichment and size checks all read them.
+    top = cut(fuse(v, t, settings), reachable, settings).checkpoint()
     return Search(top, verdicts(queries, top, unmatched, settings))
 
 

@@ -59,6 +59,15 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], block:
     return out.drop("_block", *[f"_o_{w.name}" for w in wanted])
 
 
+def spread_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` with ``_spread``, blocks that follow the order and hold about equally
+    many rows: the partitions of a range shuffle on keys and order together, so one
+    key's rows are split as well. Any orderable type will do. Written out once,
+    because the sample that sets the bounds is drawn anew by every run."""
+    along = [*map(F.col, keys), *order]
+    return df.repartitionByRange(*along).withColumn("_spread", F.spark_partition_id()).checkpoint()
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column,
              name: str) -> DataFrame:
     """``row_number`` by the same means, counted from one."""

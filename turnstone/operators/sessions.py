@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions import citing
-from turnstone.operators.running import int_block, numbered
+from turnstone.operators.bounds import broadcast_if_small
+from turnstone.operators.running import numbered, spread_blocks
+from turnstone.session import ensure_checkpoint_dir
 from turnstone.settings import DEFAULTS, Settings
 
 TALK = ("user", "assistant")
@@ -16,21 +18,19 @@ def session_list(sessions: DataFrame, messages: DataFrame, limit: int = 50,
                  offset: int = 0) -> DataFrame:
     """Newest first with message counts. Only the requested page is counted."""
     page = sessions.orderBy(F.desc("updated_at"), F.asc("session_id")).offset(offset).limit(limit)
-    counts = messages.join(F.broadcast(page.select("session_id")), "session_id", "left_semi"
-                           ).groupBy("session_id").agg(F.count("*").alias("n"))
+    few = broadcast_if_small(page.select("session_id"))  # the page's size is the caller's
+    counts = messages.join(few, "session_id", "left_semi").groupBy("session_id").agg(F.count("*").alias("n"))
     return page.join(counts, "session_id", "left").select(
         "session_id", "title", "created_at", "updated_at",
         F.coalesce("n", F.lit(0)).alias("message_count")).orderBy(
         F.desc("updated_at"), F.asc("session_id"))
 
 
-def session_detail(sessions: DataFrame, messages: DataFrame, order: str = "created_at",
-                   block=None) -> DataFrame:
+def session_detail(sessions: DataFrame, messages: DataFrame, order: str = "created_at") -> DataFrame:
     """One row per message with its place in the session, beside the session's own
-    columns. Kept flat: a session has no size limit, a row does."""
-    block = int_block(F.col(order)) if block is None else block
-    tie = [F.col(c) for c in (order, "message_id")]
-    placed = numbered(messages, ["session_id"], tie, block, "position")
+    columns. Kept flat: a session has no size limit, a row does. ``order`` may have
+    any orderable type."""
+    placed = _numbered(messages, [F.col(c) for c in (order, "message_id")])
     counts = messages.groupBy("session_id").agg(F.count("*").alias("message_count"))
     info = sessions.select("session_id", "title").join(counts, "session_id", "left").withColumn(
         "message_count", F.coalesce("message_count", F.lit(0)))
@@ -40,6 +40,19 @@ def session_detail(sessions: DataFrame, messages: DataFrame, order: str = "creat
     return full.unionByName(info.where("message_count = 0"), allowMissingColumns=True)
 
 
+def session_artifacts(sessions: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """The artifact part of the session detail: one row each, newest first."""
+    known = artifacts.join(sessions.select("session_id"), "session_id", "left_semi").select(
+        "session_id", "artifact_id", "message_id", "kind", "title", "created_at")
+    return _numbered(known, [F.desc("created_at"), F.asc("artifact_id")])
+
+
+def _numbered(rows: DataFrame, order) -> DataFrame:
+    ensure_checkpoint_dir(rows.sparkSession)
+    blocks = spread_blocks(rows, ["session_id"], order)
+    return numbered(blocks, ["session_id"], order, F.col("_spread"), "position").drop("_spread")
+
+
 def history_window(messages: DataFrame, n: int | None = None, order: str = "created_at",
                    settings: Settings = DEFAULTS) -> DataFrame:
     """The last ``n`` user and assistant messages of every session. The rank

@@ -8,6 +8,8 @@ shuffle carries those.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,7 +20,7 @@ from turnstone.functions import text as tx
 from turnstone.settings import DEFAULTS, Settings
 
 SUB_BATCH = 2048
-GROUP_ROWS = 50_000
+PARTS = 64  # of a query's candidates, ranked apart before they meet
 DIGITS = 9  # similarities are compared at this precision, ties go to the lower id
 
 
@@ -96,12 +98,18 @@ class TopK:
 
     def offer_batch(self, ids: np.ndarray, scores: np.ndarray, ok: np.ndarray | None,
                     columns: np.ndarray | None = None) -> None:
-        for pos in range(scores.shape[1]):
-            j = pos if columns is None else int(columns[pos])
-            if ok is None:
-                self.offer(j, scores[:, pos], ids)
-            elif (rows := ok[:, pos]).any():
-                self.offer(j, scores[rows, pos], ids[rows])
+        """Cuts the whole matrix at the floors and at the batch's own k-th best, and
+        goes into the queries that have rows left only."""
+        floor = self.floor if columns is None else self.floor[columns]
+        good = scores >= floor
+        if ok is not None:
+            good &= ok
+        if scores.shape[0] > self.k:
+            cut = np.partition(np.where(good, scores, -np.inf), -self.k, axis=0)[-self.k]
+            good &= scores >= cut
+        for pos in np.flatnonzero(good.any(axis=0)):
+            rows = good[:, pos]
+            self.offer(int(pos) if columns is None else int(columns[pos]), scores[rows, pos], ids[rows])
 
     def table(self, query_ids, schema: pa.Schema) -> pa.RecordBatch:
         q = [qid for qid, s in zip(query_ids, self.sims, strict=True) for _ in s]
@@ -193,9 +201,9 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int | None = None,
     """Exact ``k`` best chunks per query: ``query_id, chunk_id, similarity, rank``.
 
     ``chunks`` needs ``guest`` and ``publish_date`` when any query is filtered; a
-    filter narrows the candidates before the cut. Up to the broadcast bound the
-    query block is shipped to every task; past it both sides are split into
-    bounded blocks that meet in a co-grouped shuffle.
+    filter narrows the candidates before the cut. Queries are shipped to every
+    task in blocks of bounded size; more than one block means one scan of the
+    chunks each, with nothing replicated or shuffled but the best rows.
     """
     k = k or settings.pool
     packed = _packed_queries(queries)
@@ -210,12 +218,19 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int | None = None,
         T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
         T.StructField("similarity", T.DoubleType())])
     candidates = _candidates(chunks, filtered)
-    head = packed.limit(settings.query_rows + 1).toArrow()
-    if head.num_rows <= settings.query_rows and head.nbytes <= settings.broadcast_bytes:
-        found = _scan_with_broadcast(candidates, QueryBlock.from_arrow(head), k, out)
-    else:
-        found = _scan_in_blocks(packed, candidates, k, out, settings)
-    return ranked(found, k)
+    scans = [_scan_with_broadcast(candidates, QueryBlock.from_arrow(b), k, out)
+             for b in _blocks(packed, settings)]
+    return ranked(reduce(DataFrame.unionByName, scans), k)
+
+
+def _blocks(packed: DataFrame, settings: Settings):
+    """The queries as Arrow tables of about ``query_rows`` rows at most, fewer where
+    vectors are long; one empty table if there are none."""
+    seen = packed.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    rows = max(1, min(settings.query_rows, settings.broadcast_bytes // (16 * (seen.dim or 1))))
+    n = max(1, -(-seen.n // rows))
+    for i in range(n):
+        yield (packed if n == 1 else packed.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)).toArrow()
 
 
 def _scan_with_broadcast(candidates: DataFrame, block: QueryBlock, k: int,
@@ -231,30 +246,15 @@ def _scan_with_broadcast(candidates: DataFrame, block: QueryBlock, k: int,
     return candidates.mapInArrow(scan, out)
 
 
-def _scan_in_blocks(packed: DataFrame, candidates: DataFrame, k: int, out: T.StructType,
-                    settings: Settings) -> DataFrame:
-    block_rows = max(1, settings.query_rows // 4)
-    n_blocks = -(-packed.count() // block_rows)
-    n_parts = max(1, -(-candidates.count() // GROUP_ROWS))
-    q = packed.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1)).cast("array<bigint>")))
-    c = candidates.withColumn("_c", F.pmod(F.xxhash64("chunk_id"), F.lit(n_parts))).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
-    schema = _arrow_schema(out)
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return schema.empty_table()
-        block = QueryBlock.from_arrow(left)
-        best = _scan(right.combine_chunks().to_batches(), block, k)
-        return pa.Table.from_batches([best.table(block.ids, schema)])
-
-    return q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInArrow(meet, out)
-
-
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("chunk_id"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """Every scan task offers ``k`` rows per query; parts of them are cut first, so
+    that ``PARTS * k`` rows of a query meet at most."""
+    best = [F.desc("similarity"), F.asc("chunk_id")]
+    apart = Window.partitionBy("query_id", "_part").orderBy(*best)
+    some = found.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS))).withColumn(
+        "_rank", F.row_number().over(apart)).where(F.col("_rank") <= k).drop("_part", "_rank")
+    w = Window.partitionBy("query_id").orderBy(*best)
+    return some.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 # --- approximate search: coarse lists -------------------------------------------------
@@ -293,16 +293,17 @@ def nearest_probed(queries: DataFrame, listed: DataFrame, centres: np.ndarray, p
     packed = _packed_queries(queries).select(
         "query_id", "vector", *[F.lit(None).cast(t).alias(n) for n, t in (
             ("guest", "string"), ("since", "int"), ("until", "int"))])
-    head = packed.limit(settings.query_rows + 1).toArrow()
-    if head.num_rows > settings.query_rows or head.nbytes > settings.broadcast_bytes:
-        return nearest(queries, listed, k, settings, filtered=False)
-    block = QueryBlock.from_arrow(head)
-    near = np.argsort(-(block.q @ _unit(np.asarray(centres)).T), axis=1)[:, :probes]
-    block.by_list = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
-    wanted = sorted(block.by_list)
     out = T.StructType([
         T.StructField("query_id", packed.schema["query_id"].dataType),
         T.StructField("chunk_id", listed.schema["chunk_id"].dataType),
         T.StructField("similarity", T.DoubleType())])
-    rows = _candidates(listed.where(F.col("list_no").isin(wanted)), False, ["list_no"])
-    return ranked(_scan_with_broadcast(rows, block, k, out), k)
+    scans = []
+    for head in _blocks(packed, settings):
+        block = QueryBlock.from_arrow(head)
+        near = np.zeros((0, 0), int)
+        if block.ids:
+            near = np.argsort(-(block.q @ _unit(np.asarray(centres)).T), axis=1)[:, :probes]
+        block.by_list = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
+        rows = _candidates(listed.where(F.col("list_no").isin(sorted(block.by_list))), False, ["list_no"])
+        scans.append(_scan_with_broadcast(rows, block, k, out))
+    return ranked(reduce(DataFrame.unionByName, scans), k)

@@ -203,7 +203,7 @@ def turn_citations(spark, sf):
 WITH e AS (
   SELECT user_id, event_id AS seq, CASE WHEN event_type IN ('click', 'error') THEN 'document' ELSE 'search' END AS kind,
          event_type <> 'error' AND value > 60 AS ok, event_type = 'view' AND value > 150 AS grounded
-  FROM events WHERE value > 40),
+  FROM events),
 p AS (
   SELECT user_id, count(*) AS calls, min(seq) FILTER (kind = 'search' AND ok) AS s1, bool_or(grounded) FILTER (kind = 'search' AND ok) AS g,
          min(seq) FILTER (kind = 'document') AS d1, count(*) FILTER (kind = 'document') AS dc, count(*) FILTER (kind = 'document' AND ok) AS docs
@@ -220,7 +220,7 @@ FROM x""")
 def guard_audit(spark, sf):
     e = t.load(spark, sf, "events")
     kind, v = F.col("event_type"), F.col("value")
-    events = e.where(v > 40).select(
+    events = e.select(
         F.col("user_id").alias("turn_id"), F.col("event_id").alias("seq"),
         F.when(kind.isin("click", "error"), F.lit("document")).otherwise(F.lit("search")).alias("kind"),
         ((kind != "error") & (v > 60)).alias("ok"), ((kind == "view") & (v > 150)).alias("grounded"))

@@ -27,7 +27,7 @@ def query(name, sql=None):
 VECTOR_ARM = f"""
 vec AS (
   SELECT q.query_id, c.chunk_id, round(list_cosine_similarity(q.vector, c.embedding), 9) AS similarity
-  FROM queries q JOIN chunks c ON c.embedding IS NOT NULL AND NOT c.is_sponsor
+  FROM queries q JOIN chunks c ON c.embedding IS NOT NULL AND q.vector IS NOT NULL AND NOT c.is_sponsor
   JOIN episodes e ON e.episode_id = c.episode_id AND {t.FILTER_SQL}),
 vec_arm AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank
@@ -118,6 +118,16 @@ def knn_probed(spark, sf):
         t.queries(spark, sf), vector.assign_lists(chunks, centres), centres, 4))
 
 
+@query("knn_probed_all", t.with_sql(*PLAIN, VECTOR_ARM)
+       + "SELECT query_id, chunk_id, rank, round(similarity, 6) AS similarity FROM vec_arm")
+def knn_probed_all(spark, sf):
+    """The same lists, all of them probed: the exact answer."""
+    chunks = t.chunks(spark, sf)
+    centres = vector.train_lists(chunks, 16)
+    return _near(vector.nearest_probed(
+        t.queries(spark, sf), vector.assign_lists(chunks, centres), centres, len(centres)))
+
+
 @query("vector_cosine", """
 SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity,
        len(a.embedding) AS dim

@@ -60,13 +60,13 @@ def episodes(spark, sf_dir) -> DataFrame:
 
 
 def queries(spark, sf_dir, filtered: bool = False) -> DataFrame:
-    """The first twelve words of every benchmark passage, with the vector of the
-    same number; filtered, by guest, by date range, by an unknown guest or not."""
+    """Every benchmark passage, with the vector of the same number if there is one;
+    filtered, by guest, by date range, by an unknown guest or not."""
     i = F.col("item_id")
-    bench = load(spark, sf_dir, "benchmark").select("item_id", tx.first_words(F.col("text"), 12).alias("query"))
+    bench = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
     vectors = load(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    q = bench.join(vectors, "item_id").select(i.alias("query_id"), "query", "vector")
+    q = bench.join(vectors, "item_id", "left").select(i.alias("query_id"), "query", "vector")
     if not filtered:
         return q
     i = F.col("query_id")
@@ -96,22 +96,19 @@ episodes AS (
               THEN CAST(DATE '2019-01-01' + CAST(doc_id * 37 % 2000 AS INTEGER) AS DATE) END AS publish_date
   FROM documents)"""
 
-FIRST_12 = ("array_to_string(list_slice(list_filter(regexp_split_to_array(b.text, '\\s+'), "
-            "lambda w: w <> ''), 1, 12), ' ')")
-
 QUERIES_SQL = f"""
 queries AS (
-  SELECT b.item_id AS query_id, {FIRST_12} AS query, CAST(e.embedding AS DOUBLE[]) AS vector,
+  SELECT b.item_id AS query_id, b.text AS query, CAST(e.embedding AS DOUBLE[]) AS vector,
          CAST(NULL AS VARCHAR) AS guest, CAST(NULL AS DATE) AS since, CAST(NULL AS DATE) AS until
-  FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"""
+  FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)"""
 
 FILTERED_SQL = f"""
 queries AS (
-  SELECT b.item_id AS query_id, {FIRST_12} AS query, CAST(e.embedding AS DOUBLE[]) AS vector,
+  SELECT b.item_id AS query_id, b.text AS query, CAST(e.embedding AS DOUBLE[]) AS vector,
          CASE b.item_id % 5 WHEN 0 THEN 'guest SRC' || (b.item_id % 20) WHEN 2 THEN 'Nobody %' END AS guest,
          CASE WHEN b.item_id % 5 = 1 THEN DATE '2021-01-01' END AS since,
          CASE b.item_id % 5 WHEN 1 THEN DATE '2022-12-31' WHEN 3 THEN DATE '2018-12-31' END AS until
-  FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"""
+  FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)"""
 
 FILTER_SQL = """(q.guest IS NULL OR contains(lower(e.guest), lower(q.guest)))
         AND (q.since IS NULL OR coalesce(e.publish_date >= q.since, FALSE))

@@ -14,7 +14,7 @@ from turnstone.operators import dedup, embed, maintain, pack, parse
 from turnstone.session import ensure_checkpoint_dir
 from turnstone.settings import DEFAULTS, Settings
 from turnstone.sources import transcripts
-from turnstone.sources.store import RUNS, Store
+from turnstone.sources.store import RUNS, Conflict, Store
 
 INGEST, UNCHANGED, COLLISION, PARSE_ERROR = "ingest", "unchanged", "collision", "parse_error"
 
@@ -39,6 +39,15 @@ def outcomes(decided: DataFrame, stored: DataFrame, force: bool = False) -> Data
     return judged.unionByName(copies.withColumn("outcome", F.lit(dedup.DUPLICATE)))
 
 
+def keep_strangers(resolved: DataFrame, stored: DataFrame) -> DataFrame:
+    """For a part of the corpus: a file whose id is stored from another path is a
+    collision. The full run, which sees both files, decides between them."""
+    other = stored.select("video_id", F.col("source_path").alias("_at"))
+    strange = F.col("_at").isNotNull() & (F.col("_at") != F.col("source_path")) & (F.col("outcome") == INGEST)
+    return resolved.join(other, "video_id", "left").withColumn(
+        "outcome", F.when(strange, F.lit(COLLISION)).otherwise(F.col("outcome"))).drop("_at")
+
+
 def expected_ids(resolved: DataFrame) -> DataFrame:
     """The ids the corpus is stored under: copies skipped, borrowed ids replaced."""
     return resolved.where(F.col("outcome") != dedup.DUPLICATE).select("video_id").distinct()
@@ -80,10 +89,10 @@ def run(spark: SparkSession, root: str, store: Store, force: bool = False,
     source = root
     try:
         row = _ingest(spark, files if files is not None else transcripts.scan(spark, root, limit),
-                      store, force, make_encoder, settings, run_id)
+                      store, force, make_encoder, settings, run_id, files is not None)
         summary = {"status": "ok", "error": None, **row}
     except Exception as exc:  # noqa: BLE001 - the run log must say what happened
-        summary = {"status": "failed", "error": f"{type(exc).__name__}: {exc}"[:2000],
+        summary = {"status": "failed", "error": f"{type(exc).__name__}: {exc}",
                    "episodes_seen": 0, "episodes_ingested": 0, "episodes_skipped": 0,
                    "chunks_written": 0}
     store.log_run(spark.createDataFrame([{
@@ -92,33 +101,48 @@ def run(spark: SparkSession, root: str, store: Store, force: bool = False,
     return {"run_id": run_id, **summary}
 
 
-def _ingest(spark, files, store, force, make_encoder, settings, run_id) -> dict:
+def _committed(store: Store, run_id: str, change: Callable[[DataFrame], DataFrame], tries: int = 5) -> None:
+    """Applies ``change`` to the last version; again where another writer was first."""
+    for left in reversed(range(tries)):
+        base = store.version()
+        try:
+            store.commit(change(store.episodes(base)), run_id, base)
+            return
+        except Conflict:
+            if not left:
+                raise
+
+
+def _ingest(spark, files, store, force, make_encoder, settings, run_id, part) -> dict:
     ensure_checkpoint_dir(spark)
-    parsed, errors = transcripts.parse_files(files)
-    # Read by the copy rounds, the outcome and the packing: parsed once.
-    parsed = parsed.checkpoint()
+    # Read by the copy rounds, the outcomes, the packing and the counts: parsed once.
+    parsed, errors = transcripts.parted(transcripts.read_files(files).checkpoint())
     stored = store.episodes()
-    resolved = resolve(parsed, stored, force, settings).checkpoint()
+    resolved = resolve(parsed, stored, force, settings)
+    if part:
+        resolved = keep_strangers(resolved, stored)
+    resolved = resolved.checkpoint()
     new = resolved.where(F.col("outcome") == INGEST).withColumn(
         "episode_id", episode_id(F.col("video_id")))
     written = store.write_chunks(build_chunks(new, make_encoder, settings), run_id)
     fresh = new.withColumn("ingested_at", F.current_timestamp()).withColumn(
         "run_id", F.lit(run_id)).select(stored.columns)
-    store.commit(maintain.upsert(stored, fresh), run_id)
+    fresh = fresh.checkpoint()
+    _committed(store, run_id, lambda now: maintain.upsert(now, fresh))
     every = resolved.select("outcome").unionByName(
         errors.select(F.lit(PARSE_ERROR).alias("outcome")))
     return counters(every, written).first().asDict()
 
 
 def prune(spark: SparkSession, root: str, store: Store, subset: bool = False,
-          settings: Settings = DEFAULTS) -> list[str]:
-    """Drop episodes no transcript maps to. Returns the sorted ids dropped."""
-    parsed, _ = transcripts.parse_files(transcripts.scan(spark, root))
+          settings: Settings = DEFAULTS) -> DataFrame:
+    """Drop episodes no transcript maps to. Returns the table of ids dropped."""
+    ensure_checkpoint_dir(spark)
+    parsed, _ = transcripts.parted(transcripts.read_files(transcripts.scan(spark, root)).checkpoint())
     stored = store.episodes()
-    parsed = parsed.checkpoint() if ensure_checkpoint_dir(spark) else parsed
-    expected = expected_ids(resolve(parsed, stored, settings=settings))
-    kept, stale = maintain.prune(stored, expected, subset)
-    ids = sorted(r.video_id for r in stale.select("video_id").toLocalIterator())
-    if ids:
-        store.commit(kept, f"prune-{uuid.uuid4().hex}")
-    return ids
+    expected = expected_ids(resolve(parsed, stored, settings=settings)).checkpoint()
+    _, stale = maintain.prune(stored, expected, subset)
+    stale = stale.select("video_id").checkpoint()
+    if not stale.isEmpty():
+        _committed(store, f"prune-{uuid.uuid4().hex}", lambda now: now.join(stale, "video_id", "left_anti"))
+    return stale

@@ -1,15 +1,17 @@
 """Where a knowledge base lives: plain Parquet folders and a commit log.
 
-``episodes/version=N`` holds one small row per episode and is written whole by
-every run. ``chunks/run_id=R`` holds only what run R produced. An episode row
-names the run its chunks came from, so replacing or pruning an episode touches no
-chunk file, and a reader sees the last committed version only.
+``episodes/version=N-R`` holds one small row per episode, written whole by run R.
+``chunks/run_id=R`` holds only what run R produced. An episode row names the run its
+chunks came from, so replacing or pruning an episode touches no chunk file. A commit
+is one file in ``commits``, named by its version and created only if no other writer
+has created it; a reader sees the last committed version only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from py4j.protocol import Py4JJavaError
 
 EPISODES = (
     "episode_id string, video_id string, guest string, title string, youtube_url string, "
@@ -19,7 +21,11 @@ CHUNKS = (
     "chunk_id string, episode_id string, ordinal int, speaker string, start_seconds int, "
     "end_seconds int, text string, token_count int, is_sponsor boolean, terms array<string>, "
     "embedding array<float>, run_id string")
-COMMITS = "version long, run_id string, committed_at timestamp"
+
+class Conflict(RuntimeError):
+    """Another writer has committed first; read the store again and retry."""
+
+
 RUNS = (
     "run_id string, status string, source string, episodes_seen long, episodes_ingested long, "
     "episodes_skipped long, chunks_written long, error string, started_at timestamp, "
@@ -34,26 +40,35 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _at(self, name: str):
+        """A path and its file system: the only way to ask any store about files."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, name: str) -> list[str]:
+        path, fs = self._at(name)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
     def _read(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        jvm = self.spark._jvm  # the only way to ask any file system whether a path exists
-        there = jvm.org.apache.hadoop.fs.Path(path)
-        fs = there.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(there):
+        path, fs = self._at(name)
+        if not fs.exists(path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def commits(self) -> DataFrame:
-        return self._read("commits", COMMITS)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def version(self) -> int:
-        return self.commits().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        return max((int(n) for n in self._names("commits")), default=0)
 
     def committed(self, run_id: str) -> bool:
-        return not self.commits().where(F.col("run_id") == run_id).isEmpty()
+        return run_id in {self._run_of(int(n)) for n in self._names("commits")}
 
-    def episodes(self) -> DataFrame:
-        return self._read(f"episodes/version={self.version()}", EPISODES)
+    def _run_of(self, version: int) -> str:
+        return self.spark.read.text(f"{self.root}/commits/{version:012d}", wholetext=True).first().value
+
+    def episodes(self, version: int | None = None) -> DataFrame:
+        version = self.version() if version is None else version
+        if version == 0:
+            return self.spark.createDataFrame([], EPISODES)
+        return self._read(f"episodes/version={version}-{self._run_of(version)}", EPISODES)
 
     def chunks(self) -> DataFrame:
         """Chunks of live episodes only."""
@@ -70,15 +85,37 @@ class Store:
             "overwrite").parquet(path)
         return self.spark.read.parquet(path).count()
 
-    def commit(self, episodes: DataFrame, run_id: str) -> int:
-        number = self.version() + 1
+    def commit(self, episodes: DataFrame, run_id: str, base: int) -> int:
+        """Makes ``episodes``, derived from version ``base``, the next version. Raises
+        ``Conflict`` if that version exists by now, with nothing changed."""
+        number = base + 1
         episodes.select(*columns(EPISODES)).write.mode("overwrite").parquet(
-            f"{self.root}/episodes/version={number}")
-        self.spark.range(1).select(
-            F.lit(number).cast("long").alias("version"), F.lit(run_id).alias("run_id"),
-            F.current_timestamp().alias("committed_at"),
-        ).write.mode("append").parquet(f"{self.root}/commits")
+            f"{self.root}/episodes/version={number}-{run_id}")
+        path, fs = self._at(f"commits/{number:012d}")
+        try:
+            out = fs.create(path, False)  # fails if the file is there
+        except Py4JJavaError as exc:
+            if "AlreadyExists" in exc.java_exception.getClass().getName():
+                raise Conflict(f"version {number} has been committed by another run") from exc
+            raise
+        out.write(bytearray(run_id.encode()))
+        out.close()
         return number
 
+    def vacuum(self, keep: int = 1, running: tuple[str, ...] = ()) -> list[str]:
+        """Deletes the chunk folders that none of the last ``keep`` versions names,
+        except those of runs still under way, and older episode versions. Returns
+        the run ids whose chunks went."""
+        last = [int(n) for n in self._names("commits")][-keep:]
+        named = set(running)
+        for v in last:
+            named |= {r.run_id for r in self.episodes(v).select("run_id").distinct().collect()}
+        stale = [n for n in self._names("chunks") if n.startswith("run_id=") and n[7:] not in named]
+        old = [n for n in self._names("episodes") if last and int(n[8:].split("-")[0]) < last[0]]
+        for name in [f"chunks/{n}" for n in stale] + [f"episodes/{n}" for n in old]:
+            path, fs = self._at(name)
+            fs.delete(path, True)
+        return [n[7:] for n in stale]
+
     def log_run(self, row: DataFrame) -> None:
         row.select(*columns(RUNS)).coalesce(1).write.mode("append").parquet(f"{self.root}/runs")

@@ -28,7 +28,11 @@ def scan(spark: SparkSession, root: str, limit: int = 0) -> DataFrame:
     path."""
     files = spark.read.text(f"{root.rstrip('/')}/{PATTERN}", wholetext=True).select(
         F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("raw"))
-    return files.orderBy("source_path").limit(limit) if limit > 0 else files
+    if limit <= 0:
+        return files
+    # The paths are chosen alone; the texts stay where they are read.
+    chosen = files.select("source_path").orderBy("source_path").limit(limit)
+    return files.join(F.broadcast(chosen), "source_path", "left_semi")  # ``limit`` paths
 
 
 def split_front_matter(files: DataFrame) -> DataFrame:
@@ -80,7 +84,7 @@ def _read_header(header: str) -> dict:
     words = meta.get("keywords") or []
     if isinstance(words, str):
         words = [w.strip() for w in words.split(",") if w.strip()]
-    if not isinstance(words, (list, tuple)):
+    if not hasattr(words, "__iter__"):
         return {"error": "yaml"}
     return {**text, "keywords": [str(w) for w in words],
             "publish_date": _read_date(meta.get("publish_date")),
@@ -93,10 +97,21 @@ def _metadata(headers: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in META.names})
 
 
+def read_files(files: DataFrame) -> DataFrame:
+    """Every file with its header read, ``error`` set where it could not be. The
+    header function counts as non-deterministic, so no filter on its result is
+    moved below it and it runs once per file."""
+    split = split_front_matter(files).withColumn("m", _metadata.asNondeterministic()("header"))
+    return split.withColumn("error", F.coalesce("error", "m.error"))
+
+
 def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(episodes-with-bodies, ``parse_errors(source_path, error)``)."""
-    split = split_front_matter(files).withColumn("m", _metadata("header"))
-    read = split.withColumn("error", F.coalesce("error", "m.error"))
+    return parted(read_files(files))
+
+
+def parted(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``read_files`` rows as (episodes, errors); written out first, both read one pass."""
     given = F.nullif(F.col("m.video_id"), F.lit(""))
     good = read.where(F.col("error").isNull()).select(
         "source_path", "content_hash", "body",
