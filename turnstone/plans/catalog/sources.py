@@ -329,14 +329,18 @@ def ingest_outcomes(spark, sf):
     return _resolved(spark, sf).select("source_path", "video_id", "outcome")
 
 
-@query("ingest_run_counts", RECURSIVE + """
+@query("ingest_run_counts", RECURSIVE + f"""
 SELECT count(*) AS episodes_seen, count(*) FILTER (outcome = 'ingest') AS episodes_ingested,
-       count(*) FILTER (outcome <> 'ingest') AS episodes_skipped, count(*) FILTER (outcome = 'ingest') * 2 AS chunks_written
+       count(*) FILTER (outcome <> 'ingest') AS episodes_skipped,
+       (SELECT count(*) FROM ({PACK_SQL}) p JOIN files USING (doc_id) JOIN outcomes USING (source_path) WHERE outcome = 'ingest') AS chunks_written
 FROM outcomes""")
 def ingest_run_counts(spark, sf):
-    """Two chunks per ingested episode stand for what the writer reports."""
-    outcomes = _resolved(spark, sf).select("outcome")
-    return ingest.counters(outcomes, 0).withColumn("chunks_written", F.col("episodes_ingested") * 2)
+    """The chunks are those the ingested documents pack into."""
+    outcomes = _resolved(spark, sf).select("source_path", "outcome").checkpoint()
+    new = outcomes.where(F.col("outcome") == ingest.INGEST)
+    paths = _docs(spark, sf).select("doc_id", _path(F.col("doc_id")).alias("source_path"))
+    written = _packed(spark, sf, PACKING).join(paths, "doc_id").join(new, "source_path", "left_semi").count()
+    return ingest.counters(outcomes, written)
 
 
 @query("expected_ids", RECURSIVE + "SELECT DISTINCT video_id FROM named_again WHERE decision <> 'duplicate'")
