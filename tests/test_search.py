@@ -208,7 +208,14 @@ def test_stored_term_table_equals_the_computed_one(spark, tmp_path):
     c, _, _ = make(spark, CHUNKS, EPISODES, [])
     keyword.store_term_table(c, str(tmp_path / "terms"), buckets=4)
     key = lambda df: {(r.chunk_id, r.length, r.term, r.tf) for r in df.collect()}
-    assert key(spark.read.parquet(str(tmp_path / "terms"))) == key(keyword.term_table(c))
+    stored = spark.read.parquet(str(tmp_path / "terms"))
+    assert key(stored.where("term <> ''")) == key(keyword.term_table(c))
+    q = spark.createDataFrame([("a", c.first().text), ("b", "the")], "query_id string, query string")
+    hits = lambda df: sorted(map(tuple, df.collect()))
+    assert hits(keyword.matches(q, c, stored=stored, buckets=4)) == hits(keyword.matches(q, c)) != []
+    some = keyword.stored_terms(keyword.query_terms(q), stored, keyword.query_terms(q).select("term"), 4)
+    assert "PartitionFilters: [isnotnull(term_bucket" in (plan := some._jdf.queryExecution().executedPlan().toString()) or (
+        "term_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0])
 
 
 def test_date_phrases(spark):

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from turnstone.operators import dedup, maintain
+from turnstone.operators import dedup, keyword, maintain
 from turnstone.plans import ingest
 from turnstone.settings import Settings
 from turnstone.sources.store import Conflict, Store
@@ -89,6 +89,10 @@ def test_ingest_twice_edit_prune(spark, corpus, tmp_path):
     rex = store.episodes().where("video_id = 'slug:rex'").first()
     assert (rex.title, rex.youtube_url, rex.publish_date, rex.guest) == ("Untitled episode", "", None, "Rex Moor")
 
+    asked = spark.createDataFrame([("q", "pricing packaging")], "query_id string, query string")
+    near = lambda **more: sorted(map(tuple, keyword.matches(asked, store.chunks(), **more).collect()))
+    assert near(stored=store.terms()) == near() != []
+
     second = ingest.run(spark, str(corpus), store)
     assert (second["episodes_ingested"], second["episodes_skipped"], second["chunks_written"]) == (0, 4, 0)
     assert store.chunks().count() == len(chunks)

@@ -100,9 +100,9 @@ def cut(fused: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS) ->
 
 
 def search(queries: DataFrame, chunks: DataFrame, episodes: DataFrame,
-           settings: Settings = DEFAULTS) -> Search:
+           settings: Settings = DEFAULTS, terms: DataFrame | None = None) -> Search:
     """``queries(query_id, query, vector[, guest, since, until, top_k])`` against
-    ``chunks`` and ``episodes``."""
+    ``chunks`` and ``episodes``; ``terms`` is the stored term table, if there is one."""
     ensure_checkpoint_dir(chunks.sparkSession)
     # Both arms and every size check read the queries: materialised once.
     asked = queries.where(tx.strip(F.coalesce("query", F.lit(""))) != "").checkpoint()
@@ -120,9 +120,9 @@ def search(queries: DataFrame, chunks: DataFrame, episodes: DataFrame,
     located = chunks
     if filtered:
         located = chunks.select("chunk_id", "episode_id", "embedding", "is_sponsor").join(
-            episodes.select("episode_id", "guest", "publish_date"), "episode_id")
+            broadcast_if_small(episodes.select("episode_id", "guest", "publish_date"), settings), "episode_id")
     v = vector.nearest(reachable, located, settings.pool, settings, filtered=filtered)
-    t = keyword.ranked(reachable, chunks, episodes if filtered else None, settings.pool, settings)
+    t = keyword.ranked(reachable, chunks, episodes if filtered else None, settings.pool, settings, terms)
     # At most top_k rows per query; verdicts, enrichment and size checks all read them.
     top = cut(fuse(v, t, settings), reachable, settings).checkpoint()
     return Search(top, verdicts(queries, top, unmatched, settings))

@@ -36,35 +36,49 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return q.select("query_id", F.size("ts").alias("n_terms"), F.explode("ts").alias("term"))
 
 
-def term_table(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+def term_table(chunks: DataFrame, vocabulary: DataFrame | None = None, every: bool = False) -> DataFrame:
     """``chunk_id, length, term, tf``, over the given vocabulary if any. With a
-    vocabulary one ``EVERY_CHUNK`` row per chunk is included."""
+    vocabulary, or ``every``, one ``EVERY_CHUNK`` row per chunk is included."""
     kept = chunks.where(~F.col("is_sponsor")) if "is_sponsor" in chunks.columns else chunks
     t = with_terms(kept).select("chunk_id", "terms")
     # explode would add a filter on the array's size, and with it a second pass over
     # the text; the outer form does not.
-    if vocabulary is None:
+    if vocabulary is None and not every:
         t = t.select("chunk_id", F.size("terms").alias("length"),
                      F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
     else:
         t = t.select("chunk_id", F.size("terms").alias("length"), F.explode_outer(
             F.concat(F.array(F.lit(EVERY_CHUNK)), "terms")).alias("term"))
-        t = t.join(vocabulary, "term", "left_semi")
+        if vocabulary is not None:
+            t = t.join(vocabulary, "term", "left_semi")
     return t.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
-def store_term_table(chunks: DataFrame, path: str, buckets: int = 256) -> None:
-    """Persist the term table in term buckets. A bucket is spread over several
-    files by chunk, so a term found in most chunks does not make one huge task."""
+BUCKETS = 256
+
+
+def store_term_table(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Persist the term table in term buckets, the corpus statistics (one
+    ``EVERY_CHUNK`` row per chunk) in a bucket of their own. A bucket is spread over
+    several files by chunk, so a term found in most chunks is not one huge task."""
     spread = F.pmod(F.xxhash64("chunk_id"), F.lit(8))
-    (term_table(chunks)
+    (term_table(chunks, every=True)
      .withColumn("term_bucket", term_bucket(buckets))
      .repartition("term_bucket", spread)
      .write.mode("overwrite").partitionBy("term_bucket").parquet(path))
 
 
-def term_bucket(buckets: int):
-    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+def term_bucket(buckets: int = BUCKETS):
+    return F.when(F.col("term") == EVERY_CHUNK, F.lit(-1)).otherwise(
+        F.pmod(F.xxhash64("term"), F.lit(buckets))).cast("int")
+
+
+def stored_terms(qterms: DataFrame, stored: DataFrame, vocabulary: DataFrame,
+                 buckets: int = BUCKETS) -> DataFrame:
+    """The stored rows of the query terms; only their buckets' folders are read."""
+    wanted = qterms.select(term_bucket(buckets).alias("b")).distinct().collect()  # ``buckets`` rows at most
+    read = stored.where(F.col("term_bucket").isin([-1, *sorted(r.b for r in wanted)]))
+    return read.join(vocabulary, "term", "left_semi").select("chunk_id", "length", "term", "tf")
 
 
 def _vocabulary(qterms: DataFrame, settings: Settings) -> DataFrame:
@@ -73,13 +87,19 @@ def _vocabulary(qterms: DataFrame, settings: Settings) -> DataFrame:
     return broadcast_if_small(vocabulary, settings)
 
 
-def matches(queries: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def matches(queries: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS,
+            stored: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Every (query, chunk) where the chunk holds all the query's terms:
-    ``query_id, chunk_id, score``."""
+    ``query_id, chunk_id, score``. With a ``stored`` term table the texts of the
+    chunks are not read."""
     ensure_checkpoint_dir(chunks.sparkSession)
     qterms = query_terms(queries).checkpoint()
     # Used four times below, and far smaller than the corpus: written once.
-    table = term_table(chunks, _vocabulary(qterms, settings)).checkpoint()
+    vocabulary = _vocabulary(qterms, settings)
+    if stored is None:
+        table = term_table(chunks, vocabulary).checkpoint()
+    else:
+        table = stored_terms(qterms, stored, vocabulary, buckets).checkpoint()
 
     per_term = table.groupBy("term").agg(
         F.count("*").alias("df"), F.sum("length").alias("len_sum"))
@@ -110,24 +130,27 @@ def matches(queries: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS
 
 
 def ranked(queries: DataFrame, chunks: DataFrame, episodes: DataFrame | None = None,
-           pool: int | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+           pool: int | None = None, settings: Settings = DEFAULTS,
+           stored: DataFrame | None = None) -> DataFrame:
     """The best ``pool`` matches per query: ``query_id, chunk_id, score, rank``.
     With ``episodes`` the query filters apply before the cut."""
     pool = pool or settings.pool
-    found = matches(queries, chunks, settings)
+    found = matches(queries, chunks, settings, stored)
     if episodes is not None:
-        found = _filtered(found, queries, chunks, episodes)
+        found = _filtered(found, queries, chunks, episodes, settings)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool)
 
 
-def _filtered(found, queries, chunks, episodes) -> DataFrame:
+def _filtered(found, queries, chunks, episodes, settings) -> DataFrame:
+    """The matches are the small side: they find their chunks, then their episodes."""
     limits = with_filters(queries).select("query_id", "guest", "since", "until")
-    described = chunks.select("chunk_id", "episode_id").join(
+    few = broadcast_if_small(found.checkpoint(), settings)
+    described = broadcast_if_small(chunks.select("chunk_id", "episode_id").join(few, "chunk_id").checkpoint(), settings).join(
         episodes.select("episode_id", F.col("guest").alias("_guest"),
                         F.col("publish_date").alias("_date")), "episode_id")
     keep = fx.passes_filter(F.col("_guest"), F.col("_date"),
                             F.nullif(tx.strip(F.col("guest")), F.lit("")),
                             F.col("since"), F.col("until"))
-    return (found.join(described, "chunk_id").join(limits, "query_id").where(keep)
+    return (described.join(limits, "query_id").where(keep)
             .select("query_id", "chunk_id", "score"))

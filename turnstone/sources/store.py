@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from py4j.protocol import Py4JJavaError
 
+from turnstone.operators import keyword
+
 EPISODES = (
     "episode_id string, video_id string, guest string, title string, youtube_url string, "
     "publish_date date, duration_seconds double, description string, keywords array<string>, "
@@ -26,6 +28,7 @@ class Conflict(RuntimeError):
     """Another writer has committed first; read the store again and retry."""
 
 
+TERMS = "chunk_id string, length int, term string, tf long, run_id string, term_bucket int"
 RUNS = (
     "run_id string, status string, source string, episodes_seen long, episodes_ingested long, "
     "episodes_skipped long, chunks_written long, error string, started_at timestamp, "
@@ -85,6 +88,17 @@ class Store:
             "overwrite").parquet(path)
         return self.spark.read.parquet(path).count()
 
+    def write_terms(self, run_id: str) -> None:
+        """The inverted index of the run's chunks, in term buckets."""
+        chunks = self.spark.read.parquet(f"{self.root}/chunks/run_id={run_id}")
+        keyword.store_term_table(chunks, f"{self.root}/terms/run_id={run_id}")
+
+    def terms(self) -> DataFrame:
+        """The stored term table of live chunks, for ``hybrid.search``; a filter on
+        ``term_bucket`` reaches the folders."""
+        live = self.chunks().select("chunk_id", "run_id")
+        return self._read("terms", TERMS).join(live, ["chunk_id", "run_id"], "left_semi")
+
     def commit(self, episodes: DataFrame, run_id: str, base: int) -> int:
         """Makes ``episodes``, derived from version ``base``, the next version. Raises
         ``Conflict`` if that version exists by now, with nothing changed."""
@@ -112,7 +126,7 @@ class Store:
             named |= {r.run_id for r in self.episodes(v).select("run_id").distinct().collect()}
         stale = [n for n in self._names("chunks") if n.startswith("run_id=") and n[7:] not in named]
         old = [n for n in self._names("episodes") if last and int(n[8:].split("-")[0]) < last[0]]
-        for name in [f"chunks/{n}" for n in stale] + [f"episodes/{n}" for n in old]:
+        for name in [f"{part}/{n}" for n in stale for part in ("chunks", "terms")] + [f"episodes/{n}" for n in old]:
             path, fs = self._at(name)
             fs.delete(path, True)
         return [n[7:] for n in stale]
