@@ -66,8 +66,8 @@ def decide_copies(files: DataFrame, settings: Settings = DEFAULTS,
     ``video_id`` another file also has."""
     same = same or BySequence(settings.same_text_ratio)
     ensure_checkpoint_dir(files.sparkSession)
-    heads = files.select("source_path", "video_id",
-                         F.substring("body", 1, settings.compare_chars).alias("head"))
+    head = F.substring("body", 1, settings.compare_chars) if settings.compare_chars else F.col("body")
+    heads = files.select("source_path", "video_id", head.alias("head"))
     shared = heads.groupBy("video_id").agg(F.count("*").alias("n")).where("n > 1")
     members = heads.join(shared, "video_id", "left_semi")
     # Equal heads share their first one's fate or are its copies: settled by hash.

@@ -18,12 +18,15 @@ from pyspark.sql import types as T
 from turnstone.functions import markup
 
 # What may stay.
-TAGS = frozenset(
-    "a abbr article aside b blockquote br caption cite code col colgroup dd del details div dl dt "
-    "em figcaption figure footer h1 h2 h3 h4 h5 h6 header hr i img ins kbd li main mark nav ol p "
-    "pre q s samp section small span strong sub summary sup style table tbody td tfoot th thead "
-    "time tr u ul var wbr".split())
-COMMON = frozenset("class id style title lang dir role aria-label".split())
+TAGS = {
+    "a", "abbr", "article", "aside", "b", "blockquote", "br", "caption", "cite", "code", "col",
+    "colgroup", "dd", "del", "details", "div", "dl", "dt", "em", "figcaption", "figure",
+    "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "i", "img", "ins", "kbd",
+    "li", "main", "mark", "nav", "ol", "p", "pre", "q", "s", "samp", "section", "small", "span",
+    "strong", "sub", "summary", "sup", "style", "table", "tbody", "td", "tfoot", "th", "thead",
+    "time", "tr", "u", "ul", "var", "wbr",
+}
+COMMON = {"class", "id", "style", "title", "lang", "dir", "role", "aria-label"}
 OWN = {
     "a": {"href", "target"}, "img": {"src", "alt", "width", "height", "loading"},
     "td": {"colspan", "rowspan", "align"}, "th": {"colspan", "rowspan", "align", "scope"},
@@ -33,7 +36,7 @@ SCHEMES = frozenset({"", "http", "https", "mailto", "data"})
 LINKS = frozenset({"href", "src"})
 # Dropped with everything inside them.
 DROPPED = frozenset({"script", "iframe", "object", "embed", "form"})
-VOID = frozenset("br col hr img wbr embed input".split())
+VOID = {"br", "col", "hr", "img", "wbr", "embed", "input"}
 LINK_REL = "noopener noreferrer nofollow"
 
 
