@@ -24,12 +24,14 @@ from turnstone.llm.common import crc_mod, pieces, utf8
 
 PASSAGE_BYTES = 1024
 PAIR_BUCKETS = 256
-WIDTH = 256 + PAIR_BUCKETS
+SPAN = 6  # bytes of a span whose repeats inside a passage are counted
+WIDTH = 256 + PAIR_BUCKETS + 1
 
 
 def encode_passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Passage vectors of all texts, and the number of passages of each: square
-    roots of the shares of bytes and of hashed byte pairs, each half of unit length."""
+    roots of the shares of bytes and of hashed byte pairs, each of unit length, and
+    the share of its ``SPAN``-byte spans that repeat an earlier one."""
     lengths = np.array([len(t) for t in texts], np.int64)
     counts = np.maximum(1, -(-lengths // PASSAGE_BYTES))
     first = np.cumsum(counts) - counts
@@ -43,12 +45,28 @@ def encode_passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out[:, :256] = np.bincount(row * 256 + raw, minlength=n * 256).reshape(n, 256)
         same = row[1:] == row[:-1]
         pair = ((raw[:-1].astype(np.uint32) * 251 + raw[1:]) * np.uint32(2654435761) >> np.uint32(24)).astype(np.int64)
-        out[:, 256:] = np.bincount((row[:-1] * PAIR_BUCKETS + pair)[same], minlength=n * PAIR_BUCKETS).reshape(n, PAIR_BUCKETS)
-        for half in (out[:, :256], out[:, 256:]):
-            np.sqrt(half / np.maximum(half.sum(1, keepdims=True), 1), out=half)
+        pairs = out[:, 256:256 + PAIR_BUCKETS]
+        pairs[:] = np.bincount((row[:-1] * PAIR_BUCKETS + pair)[same], minlength=n * PAIR_BUCKETS).reshape(n, PAIR_BUCKETS)
+        for part in (out[:, :256], pairs):
+            np.sqrt(part / np.maximum(part.sum(1, keepdims=True), 1), out=part)
+        out[:, -1] = _repeated(raw, row, n)
     return out, counts
 
 
+def _repeated(raw: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    m = len(raw) - SPAN + 1
+    if m <= 0:
+        return np.zeros(n, np.float32)
+    span = np.zeros(m, np.uint64)
+    for k in range(SPAN):
+        span = span * np.uint64(257) + raw[k:k + m]
+    span = (span * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)  # 40 bits, the passage above them
+    key = np.sort((span | row[:m].astype(np.uint64) << np.uint64(40))[row[:m] == row[SPAN - 1:]])
+    again = key[1:][key[1:] == key[:-1]] >> np.uint64(40)
+    total = np.bincount((key >> np.uint64(40)).astype(np.int64), minlength=n)
+    return (np.bincount(again.astype(np.int64), minlength=n) / np.maximum(total, 1)).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class Plan:
     hidden: int = 32
