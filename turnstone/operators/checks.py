@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from datetime import date
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +34,24 @@ NAMES = {
 }
 
 
+def _tally(batches):
+    """Of a task's offenders the number and the first few, for one more round."""
+    n, first = 0, []
+    for batch in batches:
+        examples = batch.column(0).to_pylist()
+        n += len(examples)
+        first = heapq.nsmallest(EXAMPLES, first + [e for e in examples if e is not None])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([n], pa.int64()), pa.array([first], pa.list_(pa.string()))], names=["n", "first"])
+
+
 def _check(name: str, bad: DataFrame, what: str, warn_only: bool = False) -> DataFrame:
-    """``bad`` has one ``example`` text per offender."""
-    n = bad.agg(F.count("*").alias("n")).scalar()
-    some = bad.orderBy("example").limit(EXAMPLES).agg(
-        F.array_sort(F.collect_list("example")).alias("e")).scalar()
-    one = bad.sparkSession.range(1).select(n.alias("n_bad"), some.alias("examples"))
+    """``bad`` has one ``example`` text per offender. Counted and sampled in one pass
+    over it; a task sends ``EXAMPLES`` texts at most."""
+    tally = bad.select("example").mapInArrow(_tally, "n long, first array<string>")
+    one = tally.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_bad"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, EXAMPLES).alias("examples"))
     worst = "warn" if warn_only else "fail"
     return one.select(
         F.lit(NAMES[name]).alias("name"),
