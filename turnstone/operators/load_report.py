@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnstone.operators.order_stats import index_rank, order_statistics
+from turnstone.session import ensure_checkpoint_dir
 from turnstone.settings import DEFAULTS, Settings
 
 TOTAL = "Aggregated"  # fixed value: the name of the all-requests row
@@ -15,9 +16,10 @@ LOG = "ts timestamp, type string, name string, ms double, failed boolean"
 def request_summary(log: DataFrame) -> DataFrame:
     """Per endpoint and over all: requests, failures, req/s, p50, p95, p99.
 
-    The log is reduced to one row per endpoint and latency first; the total row
-    comes from those, so the log is read and shuffled once.
+    The log is reduced to one row per endpoint and latency first, and once more over
+    all endpoints; that table is written out, so the log is read and shuffled once.
     """
+    ensure_checkpoint_dir(log.sparkSession)
     seen = log.groupBy("type", "name", "ms").agg(
         F.count("*").alias("n"), F.count_if("failed").alias("bad"),
         F.min("ts").alias("t0"), F.max("ts").alias("t1"))
@@ -28,12 +30,12 @@ def request_summary(log: DataFrame) -> DataFrame:
         F.min("t0").alias("t0"), F.max("t1").alias("t1"))
     counts = counts.withColumn("type", F.when(F.col("_all"), F.lit("")).otherwise(F.col("type"))
                                ).withColumn("name", F.when(F.col("_all"), F.lit(TOTAL)).otherwise(
-                                   F.col("name"))).drop("_all")
+                                   F.col("name"))).drop("_all").checkpoint()
     keys = ["type", "name"]
     sums = counts.groupBy(*keys).agg(
         F.sum("n").alias("requests"), F.sum("bad").alias("failures"),
         F.min("t0").alias("t0"), F.max("t1").alias("t1"))
-    whole = seen.agg(((F.max("t1").cast("timestamp").cast("double")
+    whole = counts.where(F.col("name") == TOTAL).agg(((F.max("t1").cast("timestamp").cast("double")
                        - F.min("t0").cast("timestamp").cast("double"))).alias("s")).scalar()
     stats = order_statistics(counts.select(*keys, "ms", "n"), keys, "ms", {
         "p50": index_rank(0.5), "p95": index_rank(0.95), "p99": index_rank(0.99)})

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnstone.operators.running import Running, running, spread_blocks
+
 SPLITS = 255
 
 
@@ -47,9 +49,12 @@ def order_statistics(counts: DataFrame, keys: Sequence[str], value: str,
             & (F.col("_w.rank") <= F.col("_start") + F.col("_n")))
     needed = wanted.groupBy(*keys, "_slice", "_start", "total").agg(
         F.collect_list("_w").alias("_ws"))  # at most one entry per wanted rank
-    within = Window.partitionBy(*keys, "_slice").orderBy(value)
-    reached = sliced.join(needed, [*keys, "_slice"]).withColumn(
-        "_upto", F.col("_start") + F.sum("n").over(within))
+    # A slice has a 256th of the distinct values, which is still many: its running
+    # counts are made in blocks of rows.
+    inside, order = [*keys, "_slice"], [F.col(value)]
+    blocks = spread_blocks(sliced.join(needed, inside), inside, order)
+    reached = running(blocks, inside, order, F.col("_spread"), [Running("_cum", "sum", F.col("n"))]).withColumn(
+        "_upto", F.col("_start") + F.col("_cum"))
     first_at = [F.min(F.when(F.col("_upto") >= _rank_of(name), F.col(value))).alias(name)
                 for name in ranks]
     return reached.groupBy(*keys).agg(F.max("total").alias("total"), *first_at)

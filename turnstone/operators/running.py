@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnstone.session import ensure_checkpoint_dir
+
 BLOCK = 65_536
 
 
@@ -64,6 +66,7 @@ def spread_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     many rows: the partitions of a range shuffle on keys and order together, so one
     key's rows are split as well. Any orderable type will do. Written out once,
     because the sample that sets the bounds is drawn anew by every run."""
+    ensure_checkpoint_dir(df.sparkSession)
     along = [*map(F.col, keys), *order]
     return df.repartitionByRange(*along).withColumn("_spread", F.spark_partition_id()).checkpoint()
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from turnstone.functions import citing
 from turnstone.operators.bounds import broadcast_if_small
 from turnstone.operators.running import numbered, spread_blocks
-from turnstone.session import ensure_checkpoint_dir
 from turnstone.settings import DEFAULTS, Settings
 
 TALK = ("user", "assistant")
@@ -48,7 +47,6 @@ def session_artifacts(sessions: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def _numbered(rows: DataFrame, order) -> DataFrame:
-    ensure_checkpoint_dir(rows.sparkSession)
     blocks = spread_blocks(rows, ["session_id"], order)
     return numbered(blocks, ["session_id"], order, F.col("_spread"), "position").drop("_spread")
 
