@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions import search as fx
 from turnstone.functions import text as tx
 from turnstone.operators import keyword, vector
-from turnstone.operators.bounds import broadcast_if_small, fits
+from turnstone.operators.bounds import broadcast_if_small
 from turnstone.session import ensure_checkpoint_dir
 from turnstone.settings import DEFAULTS, Settings
 
@@ -49,30 +52,40 @@ def matching_queries(queries: DataFrame, episodes: DataFrame,
                      settings: Settings = DEFAULTS) -> DataFrame:
     """``query_id`` of the filtered queries at least one episode satisfies.
 
-    Episodes are first reduced to distinct (guest, date); the distinct filters
-    ride along as an array column, so one pass over that small table settles
-    every filter without pairing rows. More filters than the bound go in blocks.
+    Episodes are first reduced to distinct (guest, date). The distinct filters are
+    shipped to that table in blocks of bounded size; a task marks which of them some
+    row satisfies and sends each of those once, so no pair is ever a row.
     """
     q = vector.with_filters(queries).select(
         "query_id", F.nullif(F.lower(tx.strip(F.col("guest"))), F.lit("")).alias("guest"),
-        "since", "until")
+        vector.days("since").alias("since"), vector.days("until").alias("until"))
     q = q.where(F.col("guest").isNotNull() | F.col("since").isNotNull()
                 | F.col("until").isNotNull())
     asked = q.withColumn("key", F.to_json(F.struct("guest", "since", "until")))
-    places = episodes.select(F.lower("guest").alias("ep_guest"), "publish_date").distinct()
+    places = episodes.select(F.lower("guest").alias("guest_key"), vector.days("publish_date").alias("day")).distinct()
     distinct = asked.select("key", "guest", "since", "until").distinct()
-    few = fits(distinct, settings, settings.query_rows)
-    n_blocks = 1 if few else -(-distinct.count() // settings.query_rows) + 1
-    seen = None
-    for number in range(n_blocks):
-        block = distinct.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == number)
-        rules = block.agg(F.collect_list(F.struct("*")).alias("rules")).scalar()
-        met = places.withColumn("rules", rules).select(F.explode(F.filter(
-            "rules", lambda f: fx.passes_filter(
-                F.col("ep_guest"), F.col("publish_date"), f["guest"], f["since"], f["until"])
-        )).alias("f")).select("f.key").distinct()
-        seen = met if seen is None else seen.unionByName(met)
-    return asked.join(seen, "key", "left_semi").select("query_id")
+    n = max(1, -(-distinct.count() // settings.query_rows))
+    seen = reduce(DataFrame.unionByName, [
+        _satisfied(places, distinct.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i) if n > 1 else distinct) for i in range(n)])
+    return asked.join(seen.distinct(), "key", "left_semi").select("query_id")
+
+
+def _satisfied(places: DataFrame, filters: DataFrame) -> DataFrame:
+    """``key`` of the filters that some row of ``places`` satisfies, once per task."""
+    rules = filters.toArrow()
+    column = {n: rules.column(n).to_pylist() for n in rules.schema.names}
+    keys = column["key"]
+    block = vector.QueryBlock(keys, np.zeros((len(keys), 0)), column["guest"], column["since"], column["until"])
+    shared = places.sparkSession.sparkContext.broadcast(block)
+
+    def mark(batches):
+        block, hit = shared.value, np.zeros(len(shared.value.ids), bool)
+        for batch in batches:
+            day = batch.column("day").cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+            hit |= block.allowed(batch.column("guest_key"), day).any(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, h in zip(block.ids, hit) if h], pa.string())], names=["key"])
+
+    return places.mapInArrow(mark, "key string")
 
 
 def fuse(vector_arm: DataFrame, text_arm: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
