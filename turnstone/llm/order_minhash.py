@@ -39,6 +39,7 @@ SKETCHES = 16
 KEEP = 3
 SIMILARITY = 0.8
 REMEMBER = 400_000
+FEW_EDITS = 64  # distances up to this are found along diagonals, larger ones row by row
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _known: dict[bytes, int] = {}
@@ -163,7 +164,10 @@ def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
     if len(b) - int(np.minimum(ca[ia], cb[ib]).sum()) > limit:
         return None  # words without a partner alone cost more
-    band = 8
+    found = _along_diagonals(a, b, min(limit, FEW_EDITS))
+    if found is not None or limit <= FEW_EDITS:
+        return found
+    band = 2 * FEW_EDITS
     while True:  # a narrow band first; it settles distances it can hold
         band = min(band, limit)
         found = _banded(a, b, band)
@@ -174,6 +178,44 @@ def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
         band *= 4
 
 
+def _along_diagonals(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
+    """The band by the number of edits: per diagonal how far so many edits reach,
+    each edit followed by the run of equal words that comes next."""
+    n, m = len(a), len(b)
+    goal = m - n
+    if goal > limit:
+        return None
+    k = np.arange(-limit, limit + 1)
+    start, end = np.maximum(0, -k), np.minimum(n, m - k)
+    stop = np.zeros((len(k), n + 1), np.int32)  # where the run of equal words from i ends
+
+    def prepare(at: int) -> None:
+        lo, hi, shift = start[at], end[at], k[at]
+        stop[at] = hi
+        if lo < hi:
+            differs = np.where(a[lo:hi] != b[lo + shift:hi + shift], np.arange(lo, hi), hi)
+            stop[at, lo:hi] = np.minimum.accumulate(differs[::-1])[::-1]
+
+    nowhere = -n - m - 2
+    reach = np.full(len(k) + 2, nowhere)  # one spare diagonal on either side
+    prepare(limit)
+    reach[limit + 1] = stop[limit, 0]
+    if goal == 0 and reach[limit + 1] >= n:
+        return 0
+    for edits in range(1, limit + 1):
+        prepare(limit - edits)
+        prepare(limit + edits)
+        low, high = limit - edits, limit + edits + 1
+        new = np.maximum(np.maximum(reach[low + 1:high + 1] + 1, reach[low:high]), reach[low + 2:high + 2] + 1)
+        new = np.minimum(new, end[low:high])
+        rows = np.arange(low, high)
+        new = np.where(new >= start[low:high], stop[rows, np.maximum(new, 0)], nowhere)
+        reach[low + 1:high + 1] = new
+        if edits >= goal and reach[goal + limit + 1] >= n:
+            return edits
+    return None
+
+
 def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
     n, m = len(a), len(b)
     width, far = 2 * band + 1, n + m + 1
@@ -227,6 +269,20 @@ def _leading_pairs(keys: DataFrame) -> DataFrame:
     return best.select((-F.col("best.col2")).alias("a"), F.col("node").alias("b"))
 
 
+def _label_pairs(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """One pair of nodes for any two labels that meet in two buckets or more, the pair
+    most of these buckets name: a bucket puts forward the first node of each of its
+    labels, against that of its smallest label."""
+    named = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    fronts = written(named.groupBy("v", "label").agg(F.min("node").alias("node")), "fronts")
+    heads = fronts.groupBy("v").agg(F.min(F.struct("label", "node")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    pairs = fronts.join(heads, "v").where(F.col("label") != F.col("head.label")).groupBy(
+        F.col("head.label").alias("la"), F.col("label").alias("lb"), F.col("head.node").alias("a"), F.col("node").alias("b")).agg(
+        F.count("*").alias("votes"))
+    best = pairs.groupBy("la", "lb").agg(F.sum("votes").alias("met"), F.max(F.struct("votes", "a", "b")).alias("best"))
+    return best.where("met > 1").select("best.a", "best.b")
+
+
 def _crossing_pairs(keys: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     """Pairs of differently labelled nodes that agree on two sketches or more.
 
@@ -270,9 +326,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     once = once.repartition("digest").mapInArrow(first_per_task("digest"), once.schema)
     texts = written(once.select("node", "words"), "texts")
 
-    led = verify(_leading_pairs(keys), texts, similarity)
-    crossed = verify(_crossing_pairs(keys, components(led), similarity), texts, similarity)
-    labels = components(led.union(crossed))
+    # Large groups first, at a pair per node, then a pair per two labels while that
+    # merges any; what is left apart is compared pair by pair.
+    links = verify(_leading_pairs(keys), texts, similarity)
+    labels = components(links)
+    while not (more := verify(_label_pairs(keys, labels), texts, similarity)).isEmpty():
+        links = links.union(more)
+        labels = components(links)
+    crossed = verify(_crossing_pairs(keys, labels, similarity), texts, similarity)
+    labels = components(links.union(crossed))
 
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("label").agg(F.min("low").alias("first"), F.sum("copies").alias("class_size"))
