@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from turnstone.functions import search as fx
 from turnstone.functions import text as tx
 from turnstone.operators import hybrid, keyword, vector
+from turnstone.plans.catalog import search as registered
 from turnstone.settings import Settings
 
 SMALL = Settings(query_rows=3)
@@ -156,6 +157,13 @@ def test_probed_search_recall(cloud):
     assert len(some & {(a, b) for a, b, _ in want}) / len(want) > 0.6
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_registered_probed_search_keeps_its_recall(spark, sf):
+    pairs = lambda fn: {(r.query_id, r.chunk_id) for r in fn(spark, f"/root/testdata/{sf}").collect()}
+    want = pairs(registered.knn_exact)
+    assert len(pairs(registered.knn_probed) & want) / len(want) >= 0.9
+
+
 def test_many_filters_go_in_blocks(spark):
     _, e, q = make(spark, CHUNKS, EPISODES, [
         (f"q{i}", "x", axis(0), g, None, None, None)
