@@ -27,10 +27,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents the benchmark contaminates."""
-    judged = window_match.judge(docs, table(spark, sf_dir, "benchmark"))
-    bad = written(judged.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """Drops documents the benchmark contaminates. A null or repeated id is judged text by
+    text: other texts under the id of a contaminated one stay."""
+    judged = window_match.judge_texts(docs, table(spark, sf_dir, "benchmark"))
+    bad = written(judged.where("contaminated").select(
+        F.col("doc_id").alias("_bad"), F.col("md5").alias("_md5")).distinct(), "contaminated")
+    same = docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == bad["_md5"])
+    return docs.join(bad, same, "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,11 @@ def test_awkward_rows_and_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, documents(spark), SF).count() > 0
         assert stage(spark, empty(spark), SF).count() == 0
+
+
+def test_clean_texts_under_the_id_of_a_contaminated_one_stay(spark):
+    item = max((r.text for r in table(spark, SF, "benchmark").collect()), key=len)
+    rows = [(None, item), (None, "a clean text without an id"), (None, None), (7, item), (7, "a clean text under the same id"), (8, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in corpus_pipeline.decontaminate(spark, docs, SF).collect()}
+    assert got == {rows[1], rows[2], rows[4]}

@@ -57,7 +57,13 @@ def _positions(docs: DataFrame, lengths: list[int]) -> DataFrame:
 
 def judge(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20,
           doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+    return judge_texts(docs, items, size, share, doc_id, text, item_id, item_text).drop("md5")
+
+
+def judge_texts(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20,
+                doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``judge`` with the md5 of the text: an id may repeat, or be null, with other texts.
 
     Both uses of the windows' shingles broadcast them only if a count shows them
     small; beyond that the positions shuffle by shingle, without their words, and the
@@ -115,9 +121,10 @@ def _summed(rows: DataFrame, hits: DataFrame, cut: DataFrame, key: Column, share
     named = found.groupBy("key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     per_key = covered.join(named, "key")
     base = rows.select("doc_id", key.alias("key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    md5 = base["key"]["md5"]
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return base.join(per_key, base["key"].eqNullSafe(per_key["key"]), "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))
+        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"), md5.alias("md5"))
