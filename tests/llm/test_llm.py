@@ -428,6 +428,34 @@ def test_guess_cost():
     assert cost("Zx81kq" * 2000) > 1000  # long values are priced whole
 
 
+def test_long_values_are_priced_as_one():
+    ranks = {w: i + 1 for i, w in enumerate(secret_scan.WORDS)}
+
+    def cost(v):
+        return secret_scan.guess_cost(v, ranks)
+
+    assert abs(cost("-" * 200) - math.log10(33 * 200) - math.log10(2)) < 0.01
+    assert cost("qwertyuiop" * 20) < 30 and cost("x" * 60 + "password") < cost("x" * 60) + cost("password") + 0.01
+    assert abs(cost("k" * 61 + "welcome") - cost("k" * 61) - cost("welcome")) < 0.01  # a word across the 64th character
+
+
+def test_every_key_has_its_value():
+    ranks = {w: i + 1 for i, w in enumerate(secret_scan.WORDS)}
+
+    def values(t):
+        return [t[a:b] for _, a, b in secret_scan.guess_spans(t, t.encode().lower(), ranks, secret_scan.Prices())]
+
+    secret = "h7#Kq!zP2w"
+    for t in ('{"login":"admin","pwd":"%s"}', "login=admin&pwd=%s", "login=admin;pwd=%s;host=localhost", "{login:admin},{pwd:%s}",
+              "LOGIN='admin',PWD='%s'", '{"url":"https://h.test/?login=admin&pwd=%s","n":1}', "pwd=%s,login=password",
+              '{"login":"","pwd":"%s","pin":"123456"}', "pwd=%s\nlogin=admin", '{"pwd": "%s", "login": "monkey"}'):
+        assert values(t % secret) == [secret], t
+    assert values("password:" + "-" * 200) == [] and values('{"login":"hello","secret":"sunshine","pwd":"monkey"}') == []
+    assert values("pwd=>Tr0ub4dor&3xQz!") == ["Tr0ub4dor&3xQz!"] and values('pwd="a,b;c&d}Zx9!"') == ["a,b;c&d}Zx9!"]
+    many = '"pwd":"%s",' % secret
+    assert values(many * 3000) == [secret] * 3000
+
+
 def test_secret_rows(spark, given_docs):
     for r in queries.op8_secret_scan(spark, SF).collect():
         base = secret_scan.written_spans(plain_base(given_docs[r.doc_id]))

@@ -3,12 +3,15 @@
 Values that stand in a credential context (a key such as ``password``, ``pin`` or
 ``login`` and a separator) are priced by a dynamic program: the cheapest way to
 cut the value into dictionary words, dates, repeats, keyboard walks and
-brute-force spans, in log10 guesses. A value that costs enough is a secret.
-
-Cases. Null text is empty: no span. Long texts are scanned whole; a value longer
-than ``WINDOW`` is priced by windows that carry their cost on, so time stays
-linear. Repeated rows are scanned each. Empty table: empty result. Extra columns
-are not read.
+brute-force spans, in log10 guesses. A value that costs enough is a secret. A value
+in quotes ends at its quote, and keys inside it are looked for too; a bare one ends at
+white space, at a quote that closes what it stands in, or at a delimiter before the
+next key.
+
+Cases. Null text is empty: no span. Long texts and long values are read whole: one
+dynamic program runs over a value, with bounded look-back for words and blocks and a
+running count for walks and repeats, so time stays linear. Repeated rows are scanned
+each. Empty table: empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +37,12 @@ ASSIGN_LENGTH = 8
 # Keys that announce a credential, then a separator and a value without spaces.
 CONTEXT = re.compile(
     r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|credentials?|login|auth|token|api[_-]?key|"""
-    r"""access[_-]?key|private[_-]?key|client[_-]?secret)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*["']?([!-~]{6,})""", re.I | re.A)
+    r"""access[_-]?key|private[_-]?key|client[_-]?secret)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(["']?+)(?=[!-~]{6})""", re.I | re.A)
+QUOTED = {q: re.compile(rf"((?:\\[!-~]|(?!{q})[!-~])*){q}") for q in "\"'"}
+# A delimiter ends a bare value only before the next key, so passwords may hold it.
+NEXT_KEY = (r"""(?:[,;&|?]|[}\])]["'`]?[,;&|{\[(<])["'`{}\[\]()<>,;&|]{0,8}[\x20\t]{0,8}"""
+            r"""["']?[a-z_][\w.-]{0,63}["']?[\x20\t]{0,8}[:=]""")
+BARE = re.compile(rf"""(?:(?!["'`](?:[\s,;:&}}\])>]|$)|{NEXT_KEY})[!-~])*""", re.I | re.A)
 CLOSERS = "\"'`,;)]}>"
 
 # Common words of passwords, most common first.
@@ -47,8 +55,9 @@ WORDS = (
 ).split()
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LOOK_ALIKE = str.maketrans("@4310$57!", "aaeiossti")
-WINDOW = 64  # characters priced together
 LONGEST_WORD = 24
+LONGEST_BLOCK = 18  # of blocks said again; up to HEAD characters into a value, half of it
+HEAD = 64
 DATE = re.compile(
     r"(?:19|20)\d\d(?:[-./]?(?:0[1-9]|1[0-2])(?:[-./]?(?:0[1-9]|[12]\d|3[01]))?)?"
     r"|(?:0[1-9]|[12]\d|3[01])[-./]?(?:0[1-9]|1[0-2])[-./]?(?:(?:19|20)?\d\d)")
@@ -85,18 +94,12 @@ def _alphabet(c: str) -> int:
 def guess_cost(value: str, ranks: dict[str, int]) -> float:
     """log10 of the guesses the cheapest segmentation needs; a further log10(2)
     per segment pays for its place among the kinds."""
-    total = 0.0
-    for at in range(0, len(value), WINDOW):
-        total += _window_cost(value[at:at + WINDOW], ranks)
-    return total
-
-
-def _window_cost(value: str, ranks: dict[str, int]) -> float:
     n, low = len(value), value.lower()
     plain = low.translate(LOOK_ALIKE)
     step = math.log10(2)
     best = [0.0] + [math.inf] * n
     walk = repeat = 0  # how far the walk and the run of one character ending at i reach back
+    again: dict[int, int] = {}  # per period, how many characters up to i are those a period before
     dates = {}
     for i in range(n):
         m = DATE.match(value, i) if value[i].isdigit() else None
@@ -119,8 +122,12 @@ def _window_cost(value: str, ranks: dict[str, int]) -> float:
             cost = min(cost, best[i - 1 - walk] + math.log10(47 * (walk + 1) * 4) + step)
         if repeat >= 2:
             cost = min(cost, best[i - 1 - repeat] + math.log10(_alphabet(value[i - 1]) * (repeat + 1)) + step)
-        for period in range(2, i // 2 + 1):  # a block said again: the block and a count
-            if value[i - period:i] == value[i - 2 * period:i - period]:
+        c, at, far = value[i - 1], max(0, i - 2), i - 1 - (HEAD // 2 if i <= HEAD else LONGEST_BLOCK)
+        said, again = again, {}
+        while (at := value.rfind(c, max(0, far), at)) >= 0:
+            period = i - 1 - at
+            run = again[period] = said.get(period, 0) + 1
+            if run >= period:  # a block said again: the block and a count
                 cost = min(cost, best[i - period] + math.log10(period + 1) + step)
         for j in dates.get(i, ()):
             cost = min(cost, best[j] + math.log10(365 * 120 if i - j >= 6 else 12 * 120 if i - j > 4 else 120) + step)
@@ -148,10 +155,17 @@ def guess_spans(text: str, low: bytes, ranks: dict[str, int], prices: Prices) ->
     out = []
     if not any(h in low for h in CONTEXT_HINTS):
         return out
-    for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(CLOSERS + ".")
+    at = 0
+    while m := CONTEXT.search(text, at):
+        start = m.end()
+        closed = QUOTED[m[1]].match(text, start) if m[1] else None
+        if closed:  # keys inside the quotes, such as those of a query string, come next
+            value, at = closed[1], start
+        else:
+            at = BARE.match(text, start).end()
+            value = text[start:at].rstrip(CLOSERS + ".")
         if len(value) >= prices.least_length and guess_cost(value, ranks) >= prices.threshold:
-            out.append(("guess", m.start(1), m.start(1) + len(value)))
+            out.append(("guess", start, start + len(value)))
     return out
 
 
