@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -165,6 +166,25 @@ def test_near_copies_are_found_and_others_left(spark):
     assert got == {i: first[g] for i, g in enumerate(want)}
 
 
+@pytest.mark.parametrize("similarity, least", [(0.8, 0.9), (0.9, 0.99)])
+def test_spread_edits_are_found_beside_others(spark, similarity, least):
+    """Pairs with evenly spread substitutions, each beside a text that shares half of the first."""
+    rng = random.Random(4)
+    fresh = (f"w{i}" for i in itertools.count())
+    texts, n, size = [], 100, 400
+    for _ in range(n):
+        a = [next(fresh) for _ in range(size)]
+        b = list(a)
+        for k in range(round((1 - similarity) * size)):
+            b[int(k / (1 - similarity))] = next(fresh)
+        half = a[:size // 2] + [next(fresh) for _ in range(size // 2)]
+        texts += [" ".join(x) for x in rng.sample([a, half], 2)] + [" ".join(b)]
+    got = near_classes(spark, texts)
+    sizes = Counter(got.values())
+    assert set(sizes.values()) <= {1, 2}
+    assert sum(v == 2 for v in sizes.values()) >= least * n
+
+
 def test_near_dedup_on_given_documents(spark, given_docs):
     """No pair of shingle similarity 0.8 or more is split between classes."""
     got = {r.doc_id: r for r in queries.op2_order_minhash(spark, SF).collect()}

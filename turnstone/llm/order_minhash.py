@@ -1,18 +1,17 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
 A text is its sequence of words (A-Z lower-cased, ASCII punctuation between them
-dropped). Each of 16 sketches samples the three smallest occurrence-labelled
-5-word shingles under its own hash and keeps them in text order, so a sketch agrees
-for texts that share shingles in the same order. Two texts are candidates if they
-agree on two sketches or more, or on one with the text most of a text's sketches
-lead to. Candidates are near if an alignment needs edits of at most 0.2 of the
-longer one's words. Classes are the connected components of near texts.
+dropped). Each of 48 sketches samples the two smallest occurrence-labelled
+3-word shingles under its own hash and keeps them in text order, so a sketch agrees
+for texts that share shingles in the same order. Two texts of different classes are
+candidates if they agree on one sketch, whatever else is in the corpus. Candidates
+are near if an alignment needs edits of at most 0.2 of the longer one's words.
+Classes are the connected components of near texts.
 
-A pair with shingle similarity 0.8 agrees on a sketch with probability about a
-half, so it fails to agree on two of 16 about twice in ten thousand.
+The README has the share of pairs found at each edit similarity.
 
 Cases. Null and empty texts, and texts without words, are near only their exact
-copies. Texts under five words have one shingle, all their words. Long texts are
+copies. Texts under three words have one shingle, all their words. Long texts are
 sketched and aligned whole. Equal texts are one node; all rows of it share its
 class; of a class the row with the smallest id stays, one row even if it repeats.
 Null ids rank first. Empty table: empty result. Extra columns are not read, or
@@ -34,9 +33,9 @@ from pyspark.sql import types as T
 from turnstone.llm.common import first_per_task, pieces, utf8, written
 from turnstone.llm.components import components
 
-WORDS = 5
-SKETCHES = 16
-KEEP = 3
+WORDS = 3
+SKETCHES = 48
+KEEP = 2
 SIMILARITY = 0.8
 REMEMBER = 400_000
 FEW_EDITS = 64  # distances up to this are found along diagonals, larger ones row by row
@@ -284,24 +283,17 @@ def _label_pairs(keys: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _crossing_pairs(keys: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of differently labelled nodes that agree on two sketches or more.
+    """Pairs of differently labelled nodes that agree on a sketch.
 
-    Only buckets with two labels or more count. A node's buckets are taken two at a
-    time; in each such double bucket the nodes outside its largest label meet all
-    others of another label, so no pair inside a label is made."""
+    Only buckets with two labels or more count; in each the nodes outside its largest
+    label meet all others of another label, so no pair inside a label is made."""
     named = written(keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "keys")
-    split = named.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
-    lists = named.join(split, "v").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list("v")).alias("vs"))
-    twos = F.flatten(F.transform("vs", lambda x, i: F.transform(
-        F.slice("vs", i + 2, F.size("vs")), lambda y: F.xxhash64(x, y))))
-    double = lists.where(F.size("vs") > 1).select("node", "label", "n", F.explode(twos).alias("key"))
-    double = written(double, "doubles")
-    sizes = double.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
-    mixed = largest.where("labels > 1").select("key", F.col("most.label").alias("most"))
-    rows = written(double.join(mixed, "key"), "mixed")
-    few = rows.where("label <> most").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-    met = few.join(rows, "key").where(
+    sizes = named.groupBy("v", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("v").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
+    mixed = largest.where("labels > 1").select("v", F.col("most.label").alias("most"))
+    rows = written(named.join(mixed, "v"), "mixed")
+    few = rows.where("label <> most").select("v", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
+    met = few.join(rows, "v").where(
         (F.col("lx") != F.col("label")) & (F.least("nx", "n") >= F.greatest("nx", "n") * similarity - 1e-9))
     return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
