@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import (attention_quality, heavy_dedup, hilbert_shards, order_minhash, pitman_yor, rank_queue_bpe, secret_scan,
-                           token_counts, url_rules, window_match)
+from turnstone.llm import (attention_quality, collision_search, cover_codes, heavy_dedup, hilbert_shards, order_minhash, pitman_yor,
+                           rank_queue_bpe, secret_scan, token_counts, url_rules, vantage_clusters, window_match)
 from turnstone.llm.common import crc_mod, shared_path
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -113,7 +113,71 @@ def op10_pitman_yor(spark, sf_dir) -> DataFrame:
     return pitman_yor.score(docs, model)
 
 
+def op11_collision_search(spark, sf_dir) -> DataFrame:
+    return collision_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op12_vantage_clusters(spark, sf_dir) -> DataFrame:
+    return vantage_clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+SQUARES = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+FLOOR_MEAN = "CAST(({s} - (({s} % {n}) + {n}) % {n}) // {n} AS BIGINT)"  # // goes towards zero
+
+
+def _usable(more: str = "TRUE") -> str:
+    return f"embedding IS NOT NULL AND {more} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _op12_sql() -> str:
+    """Lloyd's rounds as a chain of tables: nearest centroid of each vector, then the means."""
+    far, mean = SQUARES.format(a="k.v", b="c.v"), FLOOR_MEAN.format(s="s", n="n")
+    ctes = [f"""kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE {_usable("len(embedding) = 64")}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < 16)"""]
+    for i in range(vantage_clusters.ROUNDS + 1):
+        ctes.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, k.v AS v, c, CAST({far} AS BIGINT) AS d FROM kept k, c{i} c
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if i < vantage_clusters.ROUNDS:
+            ctes.append(f"""s{i} AS (SELECT c, p, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM a{i}) GROUP BY c, p),
+m{i} AS (SELECT c, list({mean} ORDER BY p) AS v FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} ON m{i}.c = c{i}.c)""")
+    last = vantage_clusters.ROUNDS
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, a.c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{last}.v, ',')) AS centroid_sha256
+FROM a{last} a JOIN c{last} ON c{last}.c = a.c"""
+
+
+def op13_cover_codes(spark, sf_dir) -> DataFrame:
+    return cover_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    """The same, in every part; an entry is (part, number). The tables are 64 wide."""
+    far, mean = SQUARES.format(a="k.v", b="c.v"), FLOOR_MEAN.format(s="s", n="n")
+    ctes = [f"""kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS whole
+  FROM embeddings WHERE {_usable("len(embedding) > 0")}),
+cut AS MATERIALIZED (SELECT vec_id, label, p, whole[p * 8 + 1:p * 8 + 8] AS v FROM kept, range(8) t(p)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS c, v FROM cut QUALIFY c < 16)"""]
+    for i in range(cover_codes.ROUNDS + 1):
+        ctes.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, label, k.p AS p, k.v AS v, c, CAST({far} AS BIGINT) AS d FROM cut k JOIN c{i} c ON c.p = k.p
+  QUALIFY row_number() OVER (PARTITION BY vec_id, k.p ORDER BY d, c) = 1)""")
+        if i < cover_codes.ROUNDS:
+            ctes.append(f"""s{i} AS (SELECT p, c, j, sum(x) AS s, count(*) AS n
+  FROM (SELECT p, c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}) GROUP BY p, c, j),
+m{i} AS (SELECT p, c, list({mean} ORDER BY j) AS v FROM s{i} GROUP BY p, c),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.p, c{i}.c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} ON m{i}.p = c{i}.p AND m{i}.c = c{i}.c)""")
+    last = cover_codes.ROUNDS
+    return "WITH " + ",\n".join(ctes) + f""",
+coded AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', c), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, c)) AS h FROM c{last})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT h FROM book) AS codebooks_sha256 FROM coded"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hilbert_shards, op2_order_minhash, op3_rank_queue_bpe, op4_url_rules, op5_heavy_dedup, op6_attention_quality,
-    op7_token_counts, op8_secret_scan, op9_window_match, op10_pitman_yor)}
-ORACLES = {"op4_url_rules": OP4_SQL, "op5_heavy_dedup": OP5_SQL, "op9_window_match": OP9_SQL}
+    op7_token_counts, op8_secret_scan, op9_window_match, op10_pitman_yor, op11_collision_search, op12_vantage_clusters,
+    op13_cover_codes)}
+ORACLES = {"op4_url_rules": OP4_SQL, "op5_heavy_dedup": OP5_SQL, "op9_window_match": OP9_SQL,
+           "op12_vantage_clusters": _op12_sql(), "op13_cover_codes": _op13_sql()}
