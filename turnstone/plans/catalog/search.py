@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from turnstone.functions import search as fx
 from turnstone.functions import text as tx
-from turnstone.operators import embed, hybrid, keyword, vector
+from turnstone.operators import embed, graph, hybrid, keyword, vector
+from turnstone.operators.tables import fresh_path
 from turnstone.plans.catalog import tables as t
 from turnstone.settings import Settings
 
@@ -130,6 +131,28 @@ def knn_probed_all(spark, sf):
         t.queries(spark, sf), vector.assign_lists(chunks, centres), centres, len(centres)))
 
 
+GRAPH_WIDTH = 64
+
+
+@query("knn_graph", t.with_sql(*PLAIN, VECTOR_ARM) + """
+SELECT q.query_id, count(v.chunk_id) AS n_hits, TRUE AS mostly_found, TRUE AS exact FROM queries q LEFT JOIN vec_arm v ON v.query_id = q.query_id
+WHERE q.vector IS NOT NULL GROUP BY q.query_id""")
+def knn_graph(spark, sf):
+    """The search on the neighbour graph against the exact one, question by question: as many
+    hits, at least eight in ten of the true ones, and every similarity the true one."""
+    chunks, q = t.chunks(spark, sf), t.queries(spark, sf)
+    built = graph.build(chunks, fresh_path(spark, "graph"))
+    found = graph.search(q, built, 30, GRAPH_WIDTH).withColumnRenamed("similarity", "seen")
+    true = vector.nearest(q, chunks, 30, filtered=False).select("query_id", "chunk_id", "similarity")
+    every = q.where(F.col("vector").isNotNull()).select("query_id")
+    per = found.join(true, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(
+        F.count("*").alias("n_hits"), F.count("similarity").alias("right"),
+        F.coalesce(F.bool_and(F.col("seen") == F.col("similarity")), F.lit(True)).alias("exact"))
+    return every.join(per, "query_id", "left").select(
+        "query_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"),
+        F.coalesce(F.col("right") >= 0.8 * F.col("n_hits"), F.lit(True)).alias("mostly_found"), F.coalesce("exact", F.lit(True)).alias("exact"))
+
+
 @query("vector_cosine", """
 SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity,
        len(a.embedding) AS dim

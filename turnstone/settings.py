@@ -29,6 +29,7 @@ class Settings:
     top_k: int = 8
     essay_top_k: int = 14
     pool: int = 30
+    graph_width: int = 96  # breadth of a search on the neighbour graph
     rrf_k: int = 60
     similarity_floor: float = 0.69
     bm25_k1: float = 1.2

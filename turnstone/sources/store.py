@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from py4j.protocol import Py4JJavaError
 
+from turnstone.operators import graph as graphs
 from turnstone.operators import keyword
+from turnstone.operators.graph import Graph
 
 EPISODES = (
     "episode_id string, video_id string, guest string, title string, youtube_url string, "
@@ -99,6 +101,16 @@ class Store:
         live = self.chunks().select("chunk_id", "run_id")
         return self._read("terms", TERMS).join(live, ["chunk_id", "run_id"], "left_semi")
 
+    def write_graph(self) -> Graph:
+        """The neighbour graph of the live chunks, stored under the version it belongs to."""
+        return graphs.build(self.chunks(), f"{self.root}/graphs/version={self.version()}")
+
+    def graph(self) -> Graph | None:
+        """The stored graph of the current version, for ``hybrid.search``; None if none has
+        been written since the last commit."""
+        name = f"graphs/version={self.version()}"
+        return graphs.read(self.spark, f"{self.root}/{name}") if "shape" in self._names(name) else None
+
     def commit(self, episodes: DataFrame, run_id: str, base: int) -> int:
         """Makes ``episodes``, derived from version ``base``, the next version. Raises
         ``Conflict`` if that version exists by now, with nothing changed."""
