@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from turnstone.functions import search as fx
 from turnstone.functions import text as tx
-from turnstone.operators import hybrid, keyword, vector
+from turnstone.operators import hybrid, postings, vector
+from turnstone.operators.tables import fresh_path
 from turnstone.plans.catalog import search as registered
 from turnstone.settings import Settings
 
@@ -95,7 +96,7 @@ def test_keyword_hits_can_push_the_best_vector_hit_out(spark):
 
 def test_stop_words_only_match_nothing(spark):
     c, e, q = make(spark, CHUNKS, EPISODES, [("q", "how to the", axis(0), *NONE)])
-    assert keyword.matches(q, c).count() == 0
+    assert postings.search(q, postings.build(c, fresh_path(spark, "postings"))).count() == 0
 
 
 def test_shaping(spark):
@@ -212,20 +213,6 @@ def test_guest_taken_from_the_message(spark):
     assert {r.query_id: r.guest for r in hybrid.with_detected_guest(q, eps).collect()} == {"a": "Ana Bell", "b": "Rex", "c": None}
 
 
-def test_stored_term_table_equals_the_computed_one(spark, tmp_path):
-    c, _, _ = make(spark, CHUNKS, EPISODES, [])
-    keyword.store_term_table(c, str(tmp_path / "terms"), buckets=4)
-    key = lambda df: {(r.chunk_id, r.length, r.term, r.tf) for r in df.collect()}
-    stored = spark.read.parquet(str(tmp_path / "terms"))
-    assert key(stored.where("term <> ''")) == key(keyword.term_table(c))
-    q = spark.createDataFrame([("a", c.first().text), ("b", "the")], "query_id string, query string")
-    hits = lambda df: sorted(map(tuple, df.collect()))
-    assert hits(keyword.matches(q, c, stored=stored, buckets=4)) == hits(keyword.matches(q, c)) != []
-    some = keyword.stored_terms(keyword.query_terms(q), stored, keyword.query_terms(q).select("term"), 4)
-    assert "PartitionFilters: [isnotnull(term_bucket" in (plan := some._jdf.queryExecution().executedPlan().toString()) or (
-        "term_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0])
-
-
 def test_date_phrases(spark):
     df = spark.createDataFrame([("since 2023",), ("after 2023 and before 2025",), ("UNTIL 2024",), ("in 2023",)], "q string")
     got = [tuple(r.d) for r in df.select(fx.date_phrases(F.col("q")).alias("d")).collect()]

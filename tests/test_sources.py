@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from turnstone.operators import dedup, keyword, maintain
+from turnstone.operators import dedup, embed, hybrid, maintain, postings
 from turnstone.plans import ingest
 from turnstone.settings import Settings
 from turnstone.sources.store import Conflict, Store
@@ -90,8 +90,14 @@ def test_ingest_twice_edit_prune(spark, corpus, tmp_path):
     assert (rex.title, rex.youtube_url, rex.publish_date, rex.guest) == ("Untitled episode", "", None, "Rex Moor")
 
     asked = spark.createDataFrame([("q", "pricing packaging")], "query_id string, query string")
-    near = lambda **more: sorted(map(tuple, keyword.matches(asked, store.chunks(), **more).collect()))
-    assert near(stored=store.terms()) == near() != []
+    near = lambda index: sorted((r.chunk_id, r.score) for r in postings.search(asked, index).collect())
+    fresh = lambda: postings.build(store.chunks(), str(tmp_path / "postings"))
+    assert near(store.index()) == near(fresh()) != []
+    assert store.graph() is None
+    store.write_graph()
+    vectors = embed.embed_queries(asked)
+    found = hybrid.search(vectors, store.chunks(), store.episodes(), index=store.index(), graph=store.graph()).hits.collect()
+    assert sorted(found) == sorted(hybrid.search(vectors, store.chunks(), store.episodes()).hits.collect()) != []
 
     second = ingest.run(spark, str(corpus), store)
     assert (second["episodes_ingested"], second["episodes_skipped"], second["chunks_written"]) == (0, 4, 0)
@@ -102,6 +108,8 @@ def test_ingest_twice_edit_prune(spark, corpus, tmp_path):
     assert third["episodes_ingested"] == 1
     now = [c.text for c in store.chunks().join(store.episodes().where("video_id = 'v2'"), "episode_id").collect()]
     assert sorted(now)[0] == "Ana: Short now." and not any(OTHER[:20] in x for x in now)
+    here = lambda index: sorted(r.chunk_id for r in postings.search(asked, index).collect())
+    assert here(store.index()) == here(fresh()) and store.graph() is None  # of an older version
     forced = ingest.run(spark, str(corpus), store, force=True)
     assert forced["episodes_ingested"] == 3
     assert store.chunks().groupBy("episode_id", "ordinal").count().where("count > 1").isEmpty()

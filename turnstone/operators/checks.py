@@ -196,7 +196,7 @@ def run_all(episodes: DataFrame, chunks: DataFrame, today: date, *,
             settings: Settings = DEFAULTS) -> DataFrame:
     """All checks as one table, in report order."""
     if term_table is None:
-        term_table = keyword.term_table(chunks)
+        term_table = keyword.with_terms(chunks.where(~F.col("is_sponsor"))).where(F.size("terms") > 0)
     if vector_table is None:
         vector_table = vector.searchable(chunks)
     rows = [

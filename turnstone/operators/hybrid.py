@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from turnstone.functions import search as fx
 from turnstone.functions import text as tx
-from turnstone.operators import keyword, vector
+from turnstone.operators import postings, vector
 from turnstone.operators.bounds import broadcast_if_small
 from turnstone.operators.graph import Graph
 from turnstone.operators.graph import search as graph_search
+from turnstone.operators.tables import fresh_path
 from turnstone.session import ensure_checkpoint_dir
 from turnstone.settings import DEFAULTS, Settings
 
@@ -115,12 +116,12 @@ def cut(fused: DataFrame, queries: DataFrame, settings: Settings = DEFAULTS) ->
 
 
 def search(queries: DataFrame, chunks: DataFrame, episodes: DataFrame,
-           settings: Settings = DEFAULTS, terms: DataFrame | None = None,
+           settings: Settings = DEFAULTS, index: postings.Index | None = None,
            graph: Graph | None = None) -> Search:
     """``queries(query_id, query, vector[, guest, since, until, top_k])`` against
-    ``chunks`` and ``episodes``; ``terms`` is the stored term table, if there is one, and
-    ``graph`` the stored neighbour graph, used where no query is filtered: a filter would
-    leave too few of the nodes a search meets."""
+    ``chunks`` and ``episodes``; ``index`` is the stored keyword index (built for this
+    search alone if there is none), and ``graph`` the stored neighbour graph, used where no
+    query is filtered: a filter would leave too few of the nodes a search meets."""
     ensure_checkpoint_dir(chunks.sparkSession)
     # Both arms and every size check read the queries: materialised once.
     asked = queries.where(tx.strip(F.coalesce("query", F.lit(""))) != "").checkpoint()
@@ -143,7 +144,8 @@ def search(queries: DataFrame, chunks: DataFrame, episodes: DataFrame,
         v = graph_search(reachable, graph, settings.pool, settings.graph_width)
     else:
         v = vector.nearest(reachable, located, settings.pool, settings, filtered=filtered)
-    t = keyword.ranked(reachable, chunks, episodes if filtered else None, settings.pool, settings, terms)
+    index = index or postings.build(chunks, fresh_path(chunks.sparkSession, "postings"))
+    t = postings.ranked(reachable, index, episodes if filtered else None, settings.pool, settings)
     # At most top_k rows per query; verdicts, enrichment and size checks all read them.
     top = cut(fuse(v, t, settings), reachable, settings).checkpoint()
     return Search(top, verdicts(queries, top, unmatched, settings))

@@ -1,26 +1,16 @@
-"""Keyword search: every query term must occur, ranked by BM25.
-
-The term table is cut down to the queries' own vocabulary before anything is
-shuffled. Each query then enters through its rarest term, so the number of
-candidates is bounded by that term's frequency, and the other terms are checked
-by an equi-join on (chunk, term).
-"""
+"""Terms of chunks: the stored column, and one row per chunk and stem."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.functions import search as fx
+from turnstone.functions import stem
 from turnstone.functions import text as tx
 from turnstone.operators.bounds import broadcast_if_small
-from turnstone.operators.vector import with_filters
-from turnstone.session import ensure_checkpoint_dir
+from turnstone.operators.tables import stored
 from turnstone.settings import DEFAULTS, Settings
 
-EVERY_CHUNK = ""  # pseudo-term on every chunk; carries corpus size and lengths
-DIGITS = 9
-
 
 def with_terms(chunks: DataFrame) -> DataFrame:
     """The stored ``terms`` column, or the same computed on the fly."""
@@ -29,128 +19,13 @@ def with_terms(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("terms", tx.terms(F.col("text")))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """``query_id, term, n_terms``. A query of stop words only has no rows and
-    so matches nothing."""
-    q = queries.select("query_id", F.array_distinct(tx.terms(F.col("query"))).alias("ts"))
-    return q.select("query_id", F.size("ts").alias("n_terms"), F.explode("ts").alias("term"))
-
-
-def term_table(chunks: DataFrame, vocabulary: DataFrame | None = None, every: bool = False) -> DataFrame:
-    """``chunk_id, length, term, tf``, over the given vocabulary if any. With a
-    vocabulary, or ``every``, one ``EVERY_CHUNK`` row per chunk is included."""
+def term_table(chunks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """``chunk_id, length, term, tf``: terms are stems, computed once per distinct word."""
     kept = chunks.where(~F.col("is_sponsor")) if "is_sponsor" in chunks.columns else chunks
-    t = with_terms(kept).select("chunk_id", "terms")
     # explode would add a filter on the array's size, and with it a second pass over
     # the text; the outer form does not.
-    if vocabulary is None and not every:
-        t = t.select("chunk_id", F.size("terms").alias("length"),
-                     F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
-    else:
-        t = t.select("chunk_id", F.size("terms").alias("length"), F.explode_outer(
-            F.concat(F.array(F.lit(EVERY_CHUNK)), "terms")).alias("term"))
-        if vocabulary is not None:
-            t = t.join(vocabulary, "term", "left_semi")
-    return t.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
-
-
-BUCKETS = 256
-
-
-def store_term_table(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Persist the term table in term buckets, the corpus statistics (one
-    ``EVERY_CHUNK`` row per chunk) in a bucket of their own. A bucket is spread over
-    several files by chunk, so a term found in most chunks is not one huge task."""
-    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(8))
-    (term_table(chunks, every=True)
-     .withColumn("term_bucket", term_bucket(buckets))
-     .repartition("term_bucket", spread)
-     .write.mode("overwrite").partitionBy("term_bucket").parquet(path))
-
-
-def term_bucket(buckets: int = BUCKETS):
-    return F.when(F.col("term") == EVERY_CHUNK, F.lit(-1)).otherwise(
-        F.pmod(F.xxhash64("term"), F.lit(buckets))).cast("int")
-
-
-def stored_terms(qterms: DataFrame, stored: DataFrame, vocabulary: DataFrame,
-                 buckets: int = BUCKETS) -> DataFrame:
-    """The stored rows of the query terms; only their buckets' folders are read."""
-    wanted = qterms.select(term_bucket(buckets).alias("b")).distinct().collect()  # ``buckets`` rows at most
-    read = stored.where(F.col("term_bucket").isin([-1, *sorted(r.b for r in wanted)]))
-    return read.join(vocabulary, "term", "left_semi").select("chunk_id", "length", "term", "tf")
-
-
-def _vocabulary(qterms: DataFrame, settings: Settings) -> DataFrame:
-    every = qterms.sparkSession.range(1).select(F.lit(EVERY_CHUNK).alias("term"))
-    vocabulary = qterms.select("term").distinct().unionByName(every)
-    return broadcast_if_small(vocabulary, settings)
-
-
-def matches(queries: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS,
-            stored: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """Every (query, chunk) where the chunk holds all the query's terms:
-    ``query_id, chunk_id, score``. With a ``stored`` term table the texts of the
-    chunks are not read."""
-    ensure_checkpoint_dir(chunks.sparkSession)
-    qterms = query_terms(queries).checkpoint()
-    # Used four times below, and far smaller than the corpus: written once.
-    vocabulary = _vocabulary(qterms, settings)
-    if stored is None:
-        table = term_table(chunks, vocabulary).checkpoint()
-    else:
-        table = stored_terms(qterms, stored, vocabulary, buckets).checkpoint()
-
-    per_term = table.groupBy("term").agg(
-        F.count("*").alias("df"), F.sum("length").alias("len_sum"))
-    corpus = per_term.where(F.col("term") == EVERY_CHUNK)
-    size = corpus.select("df").scalar()
-    mean_length = corpus.select(F.col("len_sum") / F.col("df")).scalar()
-
-    rarity = Window.partitionBy("query_id").orderBy("df", "term")
-    weighted = qterms.join(per_term.select("term", "df"), "term").select(
-        "query_id", "term", "n_terms", "df",
-        F.log(1 + (size - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
-        F.row_number().over(rarity).alias("_nth"),
-        F.count("*").over(Window.partitionBy("query_id")).alias("_known"),
-    ).where(F.col("_known") == F.col("n_terms")).drop("_known")
-    weighted = broadcast_if_small(weighted.checkpoint(), settings)
-
-    entry = weighted.where(F.col("_nth") == 1).select("query_id", "term")
-    candidates = table.join(entry, "term").select("query_id", "chunk_id", "length")
-    pairs = candidates.join(weighted.drop("_nth", "df"), "query_id")
-    found = pairs.join(table.select("chunk_id", "term", "tf"), ["chunk_id", "term"])
-    k1, b = settings.bm25_k1, settings.bm25_b
-    damp = F.col("tf") + k1 * (1 - b + b * F.col("length") / mean_length)
-    return found.groupBy("query_id", "chunk_id", "n_terms").agg(
-        F.count("*").alias("_hit"),
-        F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / damp).alias("score"),
-    ).where(F.col("_hit") == F.col("n_terms")).select(
-        "query_id", "chunk_id", F.round("score", DIGITS).alias("score"))
-
-
-def ranked(queries: DataFrame, chunks: DataFrame, episodes: DataFrame | None = None,
-           pool: int | None = None, settings: Settings = DEFAULTS,
-           stored: DataFrame | None = None) -> DataFrame:
-    """The best ``pool`` matches per query: ``query_id, chunk_id, score, rank``.
-    With ``episodes`` the query filters apply before the cut."""
-    pool = pool or settings.pool
-    found = matches(queries, chunks, settings, stored)
-    if episodes is not None:
-        found = _filtered(found, queries, chunks, episodes, settings)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool)
-
-
-def _filtered(found, queries, chunks, episodes, settings) -> DataFrame:
-    """The matches are the small side: they find their chunks, then their episodes."""
-    limits = with_filters(queries).select("query_id", "guest", "since", "until")
-    few = broadcast_if_small(found.checkpoint(), settings)
-    described = broadcast_if_small(chunks.select("chunk_id", "episode_id").join(few, "chunk_id").checkpoint(), settings).join(
-        episodes.select("episode_id", F.col("guest").alias("_guest"),
-                        F.col("publish_date").alias("_date")), "episode_id")
-    keep = fx.passes_filter(F.col("_guest"), F.col("_date"),
-                            F.nullif(tx.strip(F.col("guest")), F.lit("")),
-                            F.col("since"), F.col("until"))
-    return (described.join(limits, "query_id").where(keep)
-            .select("query_id", "chunk_id", "score"))
+    said = with_terms(kept).select("chunk_id", "terms").select(
+        "chunk_id", F.size("terms").alias("length"), F.explode_outer("terms").alias("word")).where(F.col("word").isNotNull())
+    counted = stored(said.groupBy("chunk_id", "length", "word").agg(F.count("*").alias("n")), "words")
+    stems = broadcast_if_small(stored(stem.with_stems(counted.select("word").distinct(), "word"), "stems"), settings)
+    return counted.join(stems, "word").groupBy("chunk_id", "length", F.col("stem").alias("term")).agg(F.sum("n").alias("tf"))

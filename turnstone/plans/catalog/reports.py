@@ -145,7 +145,7 @@ def _scored(spark, sf):
         i.alias("query_id"), F.when(label == 1, F.lit("in_domain")).otherwise(F.lit("out_of_domain")).alias("category"),
         (label == 1).alias("expect_grounded"), F.when(i % 3 == 0, t.text_of("GUEST src", t.s(i % 20))).alias("expect_guest"))
     chunks, episodes = t.chunks(spark, sf), t.episodes(spark, sf)
-    found = hybrid.search(t.queries(spark, sf, True), chunks, episodes)
+    found = hybrid.search(t.queries(spark, sf, True), chunks, episodes, index=cs.stored_index(spark, sf))
     return evaluate.retrieval_rows(golden, found.verdicts, hybrid.enrich(found.hits, chunks, episodes))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnstone.functions import search as fx
+from turnstone.functions import stem
 from turnstone.functions import text as tx
-from turnstone.operators import embed, graph, hybrid, keyword, vector
+from turnstone.operators import embed, graph, hybrid, keyword, postings, vector
 from turnstone.operators.tables import fresh_path
 from turnstone.plans.catalog import tables as t
 from turnstone.settings import Settings
@@ -35,20 +36,43 @@ vec_arm AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank
   FROM vec QUALIFY rank <= 30)"""
 
-MATCH = f"""
-bags AS (SELECT chunk_id, {t.terms_sql('text')} AS ts FROM chunks WHERE NOT is_sponsor),
-corpus AS (SELECT count(*) AS n, avg(len(ts)) AS mean_length FROM bags),
-tf AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS term FROM bags) GROUP BY ALL),
+WORDS_SQL = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+STEMS = f"""
+said AS (
+  SELECT chunk_id, unnest(ws) AS term, generate_subscripts(ws, 1) - 1 AS pos
+  FROM (SELECT chunk_id, {WORDS_SQL.format('text')} AS ws FROM chunks WHERE NOT is_sponsor)),
+asked AS (SELECT query_id, unnest({WORDS_SQL.format('query')}) AS term FROM queries),
+words AS (SELECT DISTINCT term FROM (SELECT term FROM said UNION ALL SELECT term FROM asked) WHERE NOT list_contains({t.STOP_SQL}, term)),
+stems AS MATERIALIZED {stem.stems_sql('words')},
+occ AS (SELECT chunk_id, stem AS term, pos FROM said JOIN stems USING (term)),
+sizes AS (SELECT c.chunk_id, count(o.term) AS length FROM chunks c LEFT JOIN occ o ON o.chunk_id = c.chunk_id WHERE NOT is_sponsor GROUP BY c.chunk_id)"""
+MATCH = STEMS + """,
+corpus AS (SELECT count(*) AS n, avg(length) AS mean_length FROM sizes),
+tf AS (SELECT chunk_id, term, count(*) AS tf FROM occ GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-qbags AS (SELECT query_id, list_distinct({t.terms_sql('query')}) AS ts FROM queries),
-qterms AS (SELECT query_id, len(ts) AS n_terms, unnest(ts) AS term FROM qbags),
+qterms AS (
+  SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n_terms
+  FROM (SELECT DISTINCT query_id, stem AS term FROM asked JOIN stems USING (term))),
 matched AS (
-  SELECT query_id, tf.chunk_id,
+  SELECT query_id, tf.chunk_id, n_terms,
          round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
-                   / (tf + 1.2 * (1 - 0.75 + 0.75 * len(bags.ts) / mean_length))), 9) AS score
-  FROM qterms JOIN tf USING (term) JOIN df USING (term) JOIN bags ON bags.chunk_id = tf.chunk_id, corpus
+                   / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean_length))), 9) AS score
+  FROM qterms JOIN tf USING (term) JOIN df USING (term) JOIN sizes ON sizes.chunk_id = tf.chunk_id, corpus
   GROUP BY query_id, tf.chunk_id, n_terms HAVING count(*) = n_terms)"""
 
+# Smallest spans with all stems: for each end the least of the last places before it, and
+# for each such start its first end.
+COVERS = """
+ends AS (SELECT m.query_id, m.chunk_id, n_terms, pos AS e FROM matched m JOIN qterms USING (query_id, n_terms) JOIN occ o ON o.chunk_id = m.chunk_id AND o.term = qterms.term),
+lasts AS (
+  SELECT ends.query_id, ends.chunk_id, n_terms, e, q.term, max(o.pos) AS last
+  FROM ends JOIN qterms q USING (query_id, n_terms) JOIN occ o ON o.chunk_id = ends.chunk_id AND o.term = q.term AND o.pos <= e GROUP BY ALL),
+begun AS (SELECT query_id, chunk_id, e, min(last) AS s FROM lasts GROUP BY query_id, chunk_id, n_terms, e HAVING count(*) = n_terms),
+spans AS (SELECT query_id, chunk_id, min(e) - s + 1 AS span FROM begun GROUP BY query_id, chunk_id, s),
+close AS (
+  SELECT query_id, chunk_id, count(*) AS n_covers, min(span) AS shortest, sum(least(1.0, CAST(16 AS DOUBLE) / span)) AS closeness
+  FROM spans GROUP BY query_id, chunk_id)"""
+
 TEXT_ARM = f"""
 text_arm AS (
   SELECT m.*, row_number() OVER (PARTITION BY m.query_id ORDER BY score DESC, m.chunk_id) AS rank
@@ -165,30 +189,74 @@ def vector_cosine(spark, sf):
         F.size("embedding").alias("dim"))
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, sf):
+    """The keyword index of the table's chunks. Stored by the first query of a session that
+    needs it, as ingestion would have, and read by all others."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _built:
+        path = fresh_path(spark, "postings")
+        postings.build(t.chunks(spark, sf), path)
+        _built[key] = path
+    return postings.read(spark, _built[key])
+
+
 @query("keyword_match", t.with_sql(*PLAIN, MATCH) + "SELECT query_id, chunk_id FROM matched")
 def keyword_match(spark, sf):
-    return keyword.matches(t.queries(spark, sf), t.chunks(spark, sf)).select("query_id", "chunk_id")
+    return postings.search(t.queries(spark, sf), stored_index(spark, sf)).select("query_id", "chunk_id")
+
+
+RANK_OUT = "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM text_arm"
+
+
+def _ranks(found):
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("keyword_rank", t.with_sql(*PLAIN, MATCH, TEXT_ARM)
-       + "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM text_arm")
+@query("keyword_rank", t.with_sql(*PLAIN, MATCH, TEXT_ARM) + RANK_OUT)
 def keyword_rank(spark, sf):
-    return keyword.ranked(t.queries(spark, sf), t.chunks(spark, sf)).select(
-        "query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return _ranks(postings.ranked(t.queries(spark, sf), stored_index(spark, sf)))
+
+
+FREQUENT_SQL = f"""
+queries AS (
+  SELECT item_id AS query_id, {WORDS_SQL.format('text')}[item_id % 7 + 1] AS query, CAST(NULL AS VARCHAR) AS guest,
+         CAST(NULL AS DATE) AS since, CAST(NULL AS DATE) AS until FROM benchmark)"""
+
+
+@query("keyword_rank_frequent", t.with_sql(t.CHUNKS_SQL, t.EPISODES_SQL, FREQUENT_SQL, MATCH, TEXT_ARM) + RANK_OUT)
+def keyword_rank_frequent(spark, sf):
+    """Queries of one word, most of which many chunks hold: the best 30 without scoring all."""
+    asked = t.load(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.get(tx.tokens(F.col("text")), F.col("item_id") % 7).alias("query"))
+    return _ranks(postings.ranked(asked, stored_index(spark, sf)))
+
+
+@query("keyword_closeness", t.with_sql(*PLAIN, MATCH, COVERS) + "SELECT query_id, chunk_id, n_covers, shortest, round(closeness, 6) AS closeness FROM close")
+def keyword_closeness(spark, sf):
+    """How near a match holds the query's stems to each other, from their positions."""
+    return postings.search(t.queries(spark, sf), stored_index(spark, sf), spans=True).select(
+        "query_id", "chunk_id", "n_covers", "shortest", F.round("closeness", 6).alias("closeness"))
+
+
+@query("keyword_rank_close", t.with_sql(*PLAIN, MATCH, COVERS) + """,
+lifted AS (SELECT query_id, chunk_id, round(score * (1 + closeness / (1 + closeness)), 6) AS score FROM matched JOIN close USING (query_id, chunk_id))
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, score FROM lifted QUALIFY rank <= 30""")
+def keyword_rank_close(spark, sf):
+    """Ranks in which closeness can double a score."""
+    return _ranks(postings.ranked(t.queries(spark, sf), stored_index(spark, sf), settings=Settings(closeness_weight=1.0)))
 
 
-@query("term_table", f"""
-SELECT doc_id AS chunk_id, length, term, count(*) AS tf FROM (
-  SELECT doc_id, len(ts) AS length, unnest(ts) AS term
-  FROM (SELECT doc_id, {t.terms_sql('text')} AS ts FROM documents
-        WHERE NOT contains(lower(text), 'license')))
-GROUP BY ALL""")
+@query("term_table", t.with_sql(t.CHUNKS_SQL, t.QUERIES_SQL, STEMS) + """
+SELECT chunk_id, length, term, count(*) AS tf FROM occ JOIN sizes USING (chunk_id) GROUP BY ALL""")
 def term_table(spark, sf):
     return keyword.term_table(t.chunks(spark, sf))
 
 
 def _search(spark, sf, filtered=False):
-    return hybrid.search(t.queries(spark, sf, filtered), t.chunks(spark, sf), t.episodes(spark, sf))
+    return hybrid.search(t.queries(spark, sf, filtered), t.chunks(spark, sf), t.episodes(spark, sf), index=stored_index(spark, sf))
 
 
 def _hits(found):
@@ -279,7 +347,7 @@ SELECT v.query_id, CASE
 FROM verdicts v JOIN f USING (query_id) LEFT JOIN n USING (query_id)""")
 def search_summary(spark, sf):
     q, chunks, episodes = t.queries(spark, sf, True), t.chunks(spark, sf), t.episodes(spark, sf)
-    found = hybrid.search(q, chunks, episodes)
+    found = hybrid.search(q, chunks, episodes, index=stored_index(spark, sf))
     return hybrid.search_summary(q, found.verdicts, hybrid.enrich(found.hits, chunks, episodes))
 
 

@@ -125,7 +125,7 @@ def _ingest(spark, files, store, force, make_encoder, settings, run_id, part) ->
     new = resolved.where(F.col("outcome") == INGEST).withColumn(
         "episode_id", episode_id(F.col("video_id")))
     written = store.write_chunks(build_chunks(new, make_encoder, settings), run_id)
-    store.write_terms(run_id)
+    store.write_index(run_id)
     fresh = new.withColumn("ingested_at", F.current_timestamp()).withColumn(
         "run_id", F.lit(run_id)).select(stored.columns)
     fresh = fresh.checkpoint()

@@ -34,6 +34,7 @@ class Settings:
     similarity_floor: float = 0.69
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
+    closeness_weight: float = 0.0  # how much of a score the terms' closeness can add
     dim: int = 384
     # packing
     target_tokens: int = 400

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from py4j.protocol import Py4JJavaError
 
 from turnstone.operators import graph as graphs
-from turnstone.operators import keyword
+from turnstone.operators import postings
+from turnstone.operators.bounds import broadcast_if_small
 from turnstone.operators.graph import Graph
 
 EPISODES = (
@@ -30,7 +31,6 @@ class Conflict(RuntimeError):
     """Another writer has committed first; read the store again and retry."""
 
 
-TERMS = "chunk_id string, length int, term string, tf long, run_id string, term_bucket int"
 RUNS = (
     "run_id string, status string, source string, episodes_seen long, episodes_ingested long, "
     "episodes_skipped long, chunks_written long, error string, started_at timestamp, "
@@ -90,16 +90,18 @@ class Store:
             "overwrite").parquet(path)
         return self.spark.read.parquet(path).count()
 
-    def write_terms(self, run_id: str) -> None:
-        """The inverted index of the run's chunks, in term buckets."""
-        chunks = self.spark.read.parquet(f"{self.root}/chunks/run_id={run_id}")
-        keyword.store_term_table(chunks, f"{self.root}/terms/run_id={run_id}")
+    def write_index(self, run_id: str) -> None:
+        """The posting lists of the run's chunks, a segment of their own."""
+        postings.build(self.spark.read.schema(CHUNKS).parquet(f"{self.root}/chunks/run_id={run_id}"), f"{self.root}/postings", run_id)
 
-    def terms(self) -> DataFrame:
-        """The stored term table of live chunks, for ``hybrid.search``; a filter on
-        ``term_bucket`` reaches the folders."""
-        live = self.chunks().select("chunk_id", "run_id")
-        return self._read("terms", TERMS).join(live, ["chunk_id", "run_id"], "left_semi")
+    def index(self) -> postings.Index:
+        """The stored keyword index, for ``hybrid.search``: the segments of live runs, and of
+        their chunks those whose episode still names the run."""
+        live = self.episodes().select("episode_id", F.col("run_id").alias("segment"))
+        whole = postings.read(self.spark, f"{self.root}/postings")
+        runs = broadcast_if_small(live.select("segment").distinct())
+        return postings.Index(whole.blocks.join(runs, "segment", "left_semi"),
+                              whole.docs.join(broadcast_if_small(live), ["episode_id", "segment"], "left_semi"), whole=False)
 
     def write_graph(self) -> Graph:
         """The neighbour graph of the live chunks, stored under the version it belongs to."""
@@ -138,7 +140,8 @@ class Store:
             named |= {r.run_id for r in self.episodes(v).select("run_id").distinct().collect()}
         stale = [n for n in self._names("chunks") if n.startswith("run_id=") and n[7:] not in named]
         old = [n for n in self._names("episodes") if last and int(n[8:].split("-")[0]) < last[0]]
-        for name in [f"{part}/{n}" for n in stale for part in ("chunks", "terms")] + [f"episodes/{n}" for n in old]:
+        segments = [f"postings/{part}/segment={n[7:]}" for n in stale for part in ("blocks", "docs")]
+        for name in [f"chunks/{n}" for n in stale] + segments + [f"episodes/{n}" for n in old]:
             path, fs = self._at(name)
             fs.delete(path, True)
         return [n[7:] for n in stale]
