@@ -110,6 +110,16 @@ def test_banded_alignment(a, b, limit):
     assert got == (want if want <= limit else None)
 
 
+@given(st.lists(st.integers(0, 30), max_size=30), st.lists(st.integers(0, 30), max_size=30))
+def test_word_bits_never_say_more_edits_than_there_are(a, b):
+    """The bounds that spare an alignment hold for any two texts."""
+    a, b = (np.array(x, np.uint64) * np.uint64(0x9E3779B97F4A7C15) for x in (a, b))
+    edits = order_minhash.edits_within(a, b, 60)
+    x, y = (order_minhash.word_bits(v).view(np.uint64) for v in (a, b))
+    assert max(np.bitwise_count(x & ~y).sum(), np.bitwise_count(y & ~x).sum()) <= edits
+    assert order_minhash.fewest_edits(order_minhash.word_counts(a)[None], order_minhash.word_counts(b)[None])[0] <= edits
+
+
 def test_banded_alignment_of_long_texts():
     rng = random.Random(1)
     for edits in (0, 3, 40, 90):

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,26 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Written tables of one run that go when they are used up."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        self.paths.append((name, path))
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes the tables of these names, or all."""
+        for name, path in list(self.paths):
+            if not names or name in names:
+                remove(self.spark, path)
+                self.paths.remove((name, path))
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z; all other letters stay."""
     return F.translate(c, UPPER, UPPER.lower())
@@ -52,6 +73,21 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def light_pieces(batches: Iterator[pa.RecordBatch], column: int, rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most ``rows`` rows whose texts take about ``size`` bytes; a
+    longer text is a slice of its own."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at, held = 0, 0
+        for i, n in enumerate(lengths.tolist()):
+            if i > at and (held + n > size or i - at >= rows):
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
 def text_digest(text: bytes) -> bytes:
     """SHA-256 of the text with A-Z lower-cased."""
     return hashlib.sha256(text.lower()).digest()

@@ -21,24 +21,27 @@ passed by (``drop_near_copies``).
 from __future__ import annotations
 
 import hashlib
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstone.llm.common import first_per_task, pieces, utf8, written
+from turnstone.llm.common import Scratch, first_per_task, light_pieces, pieces, utf8, written
 from turnstone.llm.components import components
 
 WORDS = 3
 SKETCHES = 48
 KEEP = 2
 SIMILARITY = 0.8
-REMEMBER = 400_000
-FEW_EDITS = 64  # distances up to this are found along diagonals, larger ones row by row
+BITS, WIDE = 1024, 1024  # bits set and buckets counted by a text's words, to tell texts apart before they travel
+REMEMBER = 200_000
+FEW_EDITS = 16  # the first band an alignment tries
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _known: dict[bytes, int] = {}
@@ -117,8 +120,61 @@ def sketch(texts: list[np.ndarray]) -> np.ndarray:
         return out
 
 
+def word_bits(words: np.ndarray) -> np.ndarray:
+    """``BITS`` bits, one set by each word: a bit that one text has and another has not is a
+    word without a partner, so two texts with d such bits are at least d edits apart."""
+    out = np.zeros(BITS, bool)
+    out[(words % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(out).view(np.int64)
+
+
+SIGNS = [f"w{i}" for i in range(BITS // 64)]
+
+
+def _signed(bits: DataFrame, name: str) -> DataFrame:
+    """The nodes' word counts and bits as plain columns under ``name``."""
+    return bits.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *[F.col(w).alias(f"{name}_{w}") for w in SIGNS])
+
+
+def _apart(a: str, b: str) -> Column:
+    """The least number of edits that two signed nodes can be apart."""
+    only = lambda x, y: reduce(operator.add, [F.bit_count(F.col(f"{x}_{w}").bitwiseAND(F.bitwise_not(f"{y}_{w}"))) for w in SIGNS])
+    return F.greatest(only(a, b), only(b, a), F.abs(F.col(f"{a}_n") - F.col(f"{b}_n")))
+
+
+def _edits(longer: Column, similarity: float) -> Column:
+    return F.floor((1 - similarity) * longer + 1e-9)
+
+
+def _possible(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that their words' bits and lengths do not tell apart."""
+    met = pairs.join(_signed(bits, "b"), "b").join(_signed(bits, "a"), "a")
+    return met.where(_apart("a", "b") <= _edits(F.greatest("a_n", "b_n"), similarity)).select("a", "b")
+
+
+def word_counts(words: np.ndarray) -> np.ndarray:
+    """How many words fall into each of ``WIDE`` buckets, 255 at most. What one text has more
+    of than another in a bucket is as many words without a partner."""
+    return np.minimum(np.bincount((words % np.uint64(WIDE)).astype(np.int64), minlength=WIDE), 255).astype(np.uint8)
+
+
+def fewest_edits(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Row by row, how many edits two texts with these counts are apart at least."""
+    more = left.astype(np.int16) - right
+    return np.maximum(np.maximum(more, 0).sum(axis=1, dtype=np.int64), np.maximum(-more, 0).sum(axis=1, dtype=np.int64))
+
+
+def _least_edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (a, b, left, right): the pairs with that number."""
+    for batch in pieces(batches, 4096):
+        if batch.num_rows:
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("left", "right"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(fewest_edits(left, right), pa.int32())],
+                                             names=["a", "b", "d"])
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, 256):
+    for batch in light_pieces(batches, 1):
         texts = utf8(batch.column(1))
         words = [words_of(t) for t in texts]
         ids = [word_ids(w) for w in words]
@@ -129,17 +185,20 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found[i] = values
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([node_digest(t, w) for t, w in zip(texts, words)], pa.binary()),
-             pa.array([len(w) for w in words], pa.int32()), pa.array(found, pa.list_(pa.int64()))],
-            names=["doc_id", "digest", "n", "sketches"])
+             pa.array([len(w) for w in words], pa.int32()), pa.array(found, pa.list_(pa.int64())),
+             pa.array([word_counts(x).tobytes() for x in ids], pa.binary()),
+             *[pa.array(w) for w in np.stack([word_bits(x) for x in ids]).T]],
+            names=["doc_id", "digest", "n", "sketches", "wide", *SIGNS])
 
 
 def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, 256):
+    """Words joined by spaces: unlike their hashes, these can be compressed."""
+    for batch in light_pieces(batches, 0):
         texts = utf8(batch.column(0))
         words = [words_of(t) for t in texts]
         yield pa.RecordBatch.from_arrays(
             [pa.array([node_digest(t, w) for t, w in zip(texts, words)], pa.binary()),
-             pa.array([word_ids(w).tobytes() for w in words], pa.binary())], names=["digest", "words"])
+             pa.array([b" ".join(w) for w in words], pa.binary())], names=["digest", "words"])
 
 
 def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
@@ -163,100 +222,90 @@ def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
     if len(b) - int(np.minimum(ca[ia], cb[ib]).sum()) > limit:
         return None  # words without a partner alone cost more
-    found = _along_diagonals(a, b, min(limit, FEW_EDITS))
-    if found is not None or limit <= FEW_EDITS:
-        return found
-    band = 2 * FEW_EDITS
+    band = min(FEW_EDITS, limit)
     while True:  # a narrow band first; it settles distances it can hold
-        band = min(band, limit)
-        found = _banded(a, b, band)
-        if found is not None and found <= band:
+        found = _banded(b, a, band)
+        if found is not None or band == limit:
             return found
-        if band == limit:
-            return None
-        band *= 4
+        band = min(4 * band, limit)
 
 
-def _along_diagonals(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
-    """The band by the number of edits: per diagonal how far so many edits reach,
-    each edit followed by the run of equal words that comes next."""
-    n, m = len(a), len(b)
-    goal = m - n
-    if goal > limit:
+def _banded(long: np.ndarray, short: np.ndarray, band: int) -> int | None:
+    """Edit distance if it is at most ``band``, from the cells within ``band`` diagonals of the
+    main one. A column of them is one integer: its bits say where the distance goes up or down
+    by one from a row to the next, so a column costs a few operations on integers as wide as
+    the band. The distance is followed down the lowest diagonal, then along the last row."""
+    n, m = len(long), len(short)
+    if n - m > band:
         return None
-    k = np.arange(-limit, limit + 1)
-    start, end = np.maximum(0, -k), np.minimum(n, m - k)
-    stop = np.zeros((len(k), n + 1), np.int32)  # where the run of equal words from i ends
-
-    def prepare(at: int) -> None:
-        lo, hi, shift = start[at], end[at], k[at]
-        stop[at] = hi
-        if lo < hi:
-            differs = np.where(a[lo:hi] != b[lo + shift:hi + shift], np.arange(lo, hi), hi)
-            stop[at, lo:hi] = np.minimum.accumulate(differs[::-1])[::-1]
-
-    nowhere = -n - m - 2
-    reach = np.full(len(k) + 2, nowhere)  # one spare diagonal on either side
-    prepare(limit)
-    reach[limit + 1] = stop[limit, 0]
-    if goal == 0 and reach[limit + 1] >= n:
-        return 0
-    for edits in range(1, limit + 1):
-        prepare(limit - edits)
-        prepare(limit + edits)
-        low, high = limit - edits, limit + edits + 1
-        new = np.maximum(np.maximum(reach[low + 1:high + 1] + 1, reach[low:high]), reach[low + 2:high + 2] + 1)
-        new = np.minimum(new, end[low:high])
-        rows = np.arange(low, high)
-        new = np.where(new >= start[low:high], stop[rows, np.maximum(new, 0)], nowhere)
-        reach[low + 1:high + 1] = new
-        if edits >= goal and reach[goal + limit + 1] >= n:
-            return edits
-    return None
-
-
-def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
-    n, m = len(a), len(b)
-    width, far = 2 * band + 1, n + m + 1
-    step = np.arange(width)
-    wide = np.concatenate([np.zeros(band, b.dtype), b, np.zeros(band + 1, b.dtype)])
-    row = np.where((step >= band) & (step - band <= m), step - band, far)  # column j is at j - i + band
-    for i in range(1, n + 1):
-        j = step + i - band
-        change = row + (wide[i - 1:i - 1 + width] != a[i - 1])
-        drop = np.append(row[1:], far) + 1
-        best = np.where((j >= 1) & (j <= m), np.minimum(change, drop), far)
-        if i <= band:
-            best[band - i] = i
-        best = np.minimum.accumulate(best - step) + step
-        row = np.where((j >= 0) & (j <= m), best, far)
-        if row.min() > band:
-            return None
-    at = m - n + band
-    return int(row[at]) if 0 <= at < width else None
-
-
-def near(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    limit = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
-    return edits_within(a, b, limit) is not None
-
-
-def _verified(similarity: float):
+    band = min(band, n)
+    width = 2 * band + 2
+    full, lowest = (1 << width) - 1, 1 << (width - 1)
+    places: dict[int, int] = {}
+    for i, word in enumerate(long.tolist()):
+        places[word] = places.get(word, 0) | 1 << i
+    up, down, distance = (full << (width - band - 1)) & full, 0, band
+    row = 1 << (width - 2)
+    most = 2 * band + m - n  # it can still come down by one a column along the last row
+    for j, word in enumerate(short.tolist()):
+        at, shift = places.get(word, 0), j - band - 1
+        same = (at >> shift if shift >= 0 else at << -shift) & full
+        level = ((((same & up) + up) ^ up) | same | down) & full
+        right, left = down | (~(level | up) & full), level & up
+        if j < n - band:
+            distance += not level & lowest
+            if distance > most:
+                return None
+        else:
+            distance += bool(right & row) - bool(left & row)
+            row >>= 1
+        level >>= 1
+        up, down = left | (~(level | right) & full), level & right
+    return distance if distance <= band else None
+
+
+def limit_of(longer: int, similarity: float) -> int:
+    """The edits that texts of this similarity may need at most."""
+    return int((1 - similarity) * longer + 1e-9)
+
+
+def _compared(measure):
+    """For mapInArrow over (a, b, left, right, ...): the pairs for which ``measure`` gives a
+    number, with that number. A text that comes again in the next row is hashed once."""
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 256):
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            ok = [near(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(left, right)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        last: list = [(None, None), (None, None)]
+
+        def ids(side: int, text) -> np.ndarray:
+            held = text.as_buffer()
+            if last[side][0] is None or not held.equals(last[side][0]):
+                last[side] = (held, word_ids(held.to_pybytes().split()))
+            return last[side][1]
+
+        for batch in batches:
+            left, right = batch.column("left"), batch.column("right")
+            found = [measure(ids(0, left[i]), ids(1, right[i])) for i in range(batch.num_rows)]
+            kept = pa.array([f is not None for f in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a").filter(kept), batch.column("b").filter(kept), pa.array([f for f in found if f is not None], pa.int32())],
+                names=["a", "b", "d"])
 
     return step
 
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are near."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("node").alias("a"), F.col("words").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("words").alias("right"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return written(met.mapInArrow(_verified(similarity), "a long, b long"), "near")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose texts are near, with their edit distance ``d``."""
+
+    def distance(a: np.ndarray, b: np.ndarray) -> int | None:
+        return edits_within(a, b, limit_of(max(len(a), len(b)), similarity))
+
+    return scratch.written(_with_texts(pairs, texts).mapInArrow(_compared(distance), "a long, b long, d int"), "near")
 
 
 def _leading_pairs(keys: DataFrame) -> DataFrame:
@@ -268,13 +317,21 @@ def _leading_pairs(keys: DataFrame) -> DataFrame:
     return best.select((-F.col("best.col2")).alias("a"), F.col("node").alias("b"))
 
 
-def _label_pairs(keys: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(keys: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """The keys of buckets that hold two labels or more, with the node's label now. Labels
+    only merge, so a bucket that drops out has nothing left to compare."""
+    named = keys.select("node", "v").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = scratch.written(named, "named")
+    open_ = named.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
+    return scratch.written(named.join(open_, "v", "left_semi"), "mixed")
+
+
+def _label_pairs(mixed: DataFrame, scratch: Scratch) -> DataFrame:
     """One pair of nodes for any two labels that meet in two buckets or more, the pair
     most of these buckets name: a bucket puts forward the first node of each of its
     labels, against that of its smallest label."""
-    named = keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    fronts = written(named.groupBy("v", "label").agg(F.min("node").alias("node")), "fronts")
-    heads = fronts.groupBy("v").agg(F.min(F.struct("label", "node")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    fronts = scratch.written(mixed.groupBy("v", "label").agg(F.min("node").alias("node")), "fronts")
+    heads = fronts.groupBy("v").agg(F.min(F.struct("label", "node")).alias("head"))
     pairs = fronts.join(heads, "v").where(F.col("label") != F.col("head.label")).groupBy(
         F.col("head.label").alias("la"), F.col("label").alias("lb"), F.col("head.node").alias("a"), F.col("node").alias("b")).agg(
         F.count("*").alias("votes"))
@@ -282,56 +339,86 @@ def _label_pairs(keys: DataFrame, labels: DataFrame) -> DataFrame:
     return best.where("met > 1").select("best.a", "best.b")
 
 
-def _crossing_pairs(keys: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of differently labelled nodes that agree on a sketch.
-
-    Only buckets with two labels or more count; in each the nodes outside its largest
-    label meet all others of another label, so no pair inside a label is made."""
-    named = written(keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "keys")
-    sizes = named.groupBy("v", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("v").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
-    mixed = largest.where("labels > 1").select("v", F.col("most.label").alias("most"))
-    rows = written(named.join(mixed, "v"), "mixed")
-    few = rows.where("label <> most").select("v", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-    met = few.join(rows, "v").where(
-        (F.col("lx") != F.col("label")) & (F.least("nx", "n") >= F.greatest("nx", "n") * similarity - 1e-9))
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+def _crossing_pairs(mixed: DataFrame, anchors: DataFrame, bits: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Pairs of differently labelled nodes that agree on a sketch and may be near.
+
+    In each bucket the nodes outside its largest label meet all others of another label, but
+    not one by one. A node hangs from its anchor at a known edit distance (its own anchor at
+    0), so a stray first meets the anchors: if stray and anchor are d edits apart at least,
+    a node at distance e from the anchor is d - e away at least, by the triangle inequality.
+    The first d comes from a few bits of the words, inside the join; for what is left it comes
+    from more of them. Only nodes for which d - e is within the limit are paired, so a large group
+    costs a stray one comparison, and no near pair is lost."""
+    placed = mixed.join(anchors, "node", "left").select(
+        "v", "node", "label", F.coalesce("anchor", "node").alias("anchor"), F.coalesce("d", F.lit(0)).alias("d"))
+    rows = scratch.written(placed.join(bits.select("node", "n"), "node"), "placed")
+    sizes = rows.groupBy("v", "label").agg(F.count("*").alias("c"))
+    most = sizes.groupBy("v").agg(F.max(F.struct("c", "label")).alias("most")).select("v", F.col("most.label").alias("most"))
+    few = scratch.written(rows.join(most, "v").where("label <> most").select(
+        "v", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx")), "strays")
+    spots = rows.groupBy("v", "label", "anchor").agg(F.max("d").alias("far"), F.min("n").alias("short"), F.max("n").alias("long"))
+    longer = F.greatest("nx", "long")
+    fits = (F.col("short") * similarity <= F.col("nx") + 1e-9) & (F.col("nx") * similarity <= F.col("long") + 1e-9)
+    met = few.join(_signed(bits, "x"), "x").join(spots.join(_signed(bits, "anchor"), "anchor"), "v").where(
+        (F.col("lx") != F.col("label")) & fits & (_apart("x", "anchor") - F.col("far") <= _edits(longer, similarity)))
+    met = scratch.written(met.groupBy("x", "anchor").agg(F.max("far").alias("far"), F.max(longer).alias("longer")), "met")
+    wide = bits.select("node", F.col("wide").alias("words"))
+    bounds = _with_texts(met.where("x <> anchor").select(F.col("anchor").alias("a"), F.col("x").alias("b")), wide).mapInArrow(
+        _least_edits, "a long, b long, d int")
+    # A stray may be the anchor of nodes under another label; then it is 0 edits away.
+    near = met.join(bounds.select(F.col("a").alias("anchor"), F.col("b").alias("x"), F.col("d").alias("least")), ["x", "anchor"], "left")
+    near = scratch.written(near.withColumn("least", F.coalesce("least", F.lit(0))).where(
+        F.col("least") - F.col("far") <= _edits(F.col("longer"), similarity)).select("x", "anchor", "least"), "open")
+    found = few.join(near, "x").join(rows, ["v", "anchor"]).where(
+        (F.col("lx") != F.col("label")) & (F.least("nx", "n") >= F.greatest("nx", "n") * similarity - 1e-9)
+        & (F.col("least") - F.col("d") <= _edits(F.greatest("nx", "n"), similarity)))
+    return found.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the smallest id of its class),
     class_size, kept, digest (of its words)."""
+    scratch = Scratch(docs.sparkSession)
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    rows = narrow.mapInArrow(_sketched, f"doc_id {kind}, digest binary, n int, sketches array<long>")
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "sketches")
-    nodes = written(rows.groupBy("digest").agg(
+    sketched = narrow.mapInArrow(_sketched, f"doc_id {kind}, digest binary, n int, sketches array<long>, wide binary, "
+                                 + ", ".join(f"{w} long" for w in SIGNS))
+    sketched = scratch.written(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    rows = written(sketched.select("doc_id", "row", "digest"), "rows")
+    nodes = scratch.written(rows.groupBy("digest").agg(
         F.min("row").alias("node"), F.min(F.struct("doc_id", "row")).alias("low"), F.count("*").alias("copies")), "nodes")
-    one = rows.select(F.col("row").alias("node"), "n", "sketches").join(nodes.select("node"), "node")
-    flat = written(one.where("sketches is not null").select("node", "n", F.explode("sketches").alias("v")), "buckets")
+    one = sketched.select(F.col("row").alias("node"), "sketches").join(nodes.select("node"), "node")
+    flat = scratch.written(one.where("sketches is not null").select("node", F.explode("sketches").alias("v")), "buckets")
     shared = flat.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
-    keys = written(flat.join(shared, "v"), "keys")
+    keys = scratch.written(flat.join(shared, "v"), "keys")
+    live = scratch.written(keys.select("node").distinct().join(nodes.select("node", "digest"), "node"), "live")
+    bits = scratch.written(sketched.select(F.col("row").alias("node"), "n", "wide", *SIGNS).join(live.select("node"), "node"), "bits")
+    scratch.drop("sketches", "buckets")
 
-    live = written(keys.select("node").distinct().join(nodes.select("node", "digest"), "node"), "live")
     worded = docs.select(F.col(text).alias("text")).mapInArrow(_worded, "digest binary, words binary")
     once = worded.mapInArrow(first_per_task("digest"), "digest binary, words binary").join(live, "digest")
     once = once.repartition("digest").mapInArrow(first_per_task("digest"), once.schema)
-    texts = written(once.select("node", "words"), "texts")
+    texts = scratch.written(once.select("node", "words"), "texts")
 
     # Large groups first, at a pair per node, then a pair per two labels while that
     # merges any; what is left apart is compared pair by pair.
-    links = verify(_leading_pairs(keys), texts, similarity)
-    labels = components(links)
-    while not (more := verify(_label_pairs(keys, labels), texts, similarity)).isEmpty():
+    links = verify(_possible(_leading_pairs(keys), bits, similarity), texts, similarity, scratch)
+    anchors = links.select(F.col("b").alias("node"), F.col("a").alias("anchor"), "d")
+    labels = components(links.select("a", "b"))
+    mixed = _mixed(keys, labels, scratch)
+    scratch.drop("keys")
+    while not (more := verify(_possible(_label_pairs(mixed, scratch), bits, similarity), texts, similarity, scratch)).isEmpty():
         links = links.union(more)
-        labels = components(links)
-    crossed = verify(_crossing_pairs(keys, labels, similarity), texts, similarity)
-    labels = components(links.union(crossed))
+        labels = components(links.select("a", "b"))
+        mixed = _mixed(mixed, labels, scratch)
+    crossed = verify(_crossing_pairs(mixed, anchors, bits, similarity, scratch), texts, similarity, scratch)
+    labels = components(links.union(crossed).select("a", "b"))
 
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("label").agg(F.min("low").alias("first"), F.sum("copies").alias("class_size"))
     of_digest = written(named.select("digest", "label").join(groups, "label").select("digest", "first", "class_size"), "classes")
-    return rows.select("doc_id", "row", "digest").join(of_digest, "digest").select(
+    scratch.drop()
+    return rows.join(of_digest, "digest").select(
         "doc_id", F.col("first.doc_id").alias("class_id"), "class_size",
         (F.col("row") == F.col("first.row")).alias("kept"), "digest")
 
@@ -344,7 +431,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, doc_id: st
     at = list(names).index(text)
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in light_pieces(batches, at):
             found = [node_digest(t, words_of(t)) for t in utf8(batch.column(at))]
             yield batch.append_column("digest", pa.array(found, pa.binary()))
 
