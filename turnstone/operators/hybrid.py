@@ -16,7 +16,7 @@ from turnstone.operators import postings, vector
 from turnstone.operators.bounds import broadcast_if_small
 from turnstone.operators.graph import Graph
 from turnstone.operators.graph import search as graph_search
-from turnstone.operators.tables import fresh_path
+from turnstone.operators.tables import fresh_path, stored
 from turnstone.session import ensure_checkpoint_dir
 from turnstone.settings import DEFAULTS, Settings
 
@@ -124,7 +124,7 @@ def search(queries: DataFrame, chunks: DataFrame, episodes: DataFrame,
     query is filtered: a filter would leave too few of the nodes a search meets."""
     ensure_checkpoint_dir(chunks.sparkSession)
     # Both arms and every size check read the queries: materialised once.
-    asked = queries.where(tx.strip(F.coalesce("query", F.lit(""))) != "").checkpoint()
+    asked = stored(queries.where(tx.strip(F.coalesce("query", F.lit(""))) != ""), "asked")
     filtered = is_filtered(asked)
     reachable = asked
     unmatched = None
@@ -134,8 +134,8 @@ def search(queries: DataFrame, chunks: DataFrame, episodes: DataFrame,
                  & F.col("since").isNull() & F.col("until").isNull())
         met = matching_queries(asked, episodes, settings)
         filtered_ids = with_rules.where(~plain).select("query_id")
-        unmatched = filtered_ids.join(met, "query_id", "left_anti").checkpoint()
-        reachable = asked.join(unmatched, "query_id", "left_anti").checkpoint()
+        unmatched = stored(filtered_ids.join(met, "query_id", "left_anti"), "unmatched")
+        reachable = stored(asked.join(unmatched, "query_id", "left_anti"), "reachable")
     located = chunks
     if filtered:
         located = chunks.select("chunk_id", "episode_id", "embedding", "is_sponsor").join(
@@ -147,7 +147,7 @@ def search(queries: DataFrame, chunks: DataFrame, episodes: DataFrame,
     index = index or postings.build(chunks, fresh_path(chunks.sparkSession, "postings"))
     t = postings.ranked(reachable, index, episodes if filtered else None, settings.pool, settings)
     # At most top_k rows per query; verdicts, enrichment and size checks all read them.
-    top = cut(fuse(v, t, settings), reachable, settings).checkpoint()
+    top = stored(cut(fuse(v, t, settings), reachable, settings), "top")
     return Search(top, verdicts(queries, top, unmatched, settings))
 
 

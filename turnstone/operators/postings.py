@@ -326,8 +326,7 @@ def query_stems(queries: DataFrame) -> DataFrame:
     """``query_id, term``: the distinct stems of each query. One of stop words only has no
     rows and so matches nothing."""
     said = queries.select("query_id", F.explode(F.array_distinct(tx.terms(F.col("query")))).alias("word"))
-    stems = stem.with_stems(said.select("word").distinct(), "word")
-    return said.join(stems, "word").select("query_id", F.col("stem").alias("term")).distinct()
+    return stem.with_stems(said, "word").select("query_id", F.col("stem").alias("term")).distinct()
 
 
 def wanted_blocks(index: Index, terms: list[tuple[str, int]]) -> DataFrame:
