@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from turnstone.operators import dedup, embed, hybrid, maintain, postings
 from turnstone.plans import ingest
 from turnstone.settings import Settings
-from turnstone.sources.store import Conflict, Store
+from turnstone.sources.store import EPISODES, Conflict, Store
 from turnstone.streaming import ingest_stream, spans
 
 COLUMNS = "source_path string, guest string, title string, video_id string, body string"
@@ -224,3 +224,18 @@ def test_settings_reach_the_packer(spark):
     few = ingest.build_chunks(files, lambda: __import__("turnstone.operators.embed", fromlist=["x"]).HashedTerms(8),
                               Settings(target_tokens=20, overlap_tokens=0))
     assert few.agg(F.max("token_count")).first()[0] <= 30 and few.count() == 5
+
+
+def test_commits_are_whole_or_absent(spark, tmp_path):
+    """A writer that ends before its commit leaves nothing a reader sees, the second writer of
+    a version loses, and one listing knows all runs."""
+    store = Store(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([], EPISODES)
+    assert store.version() == 0 and not store.committed("one")
+    assert store.commit(rows, "one", 0) == 1
+    (tmp_path / "store" / "commits" / "_halfway").mkdir()
+    (tmp_path / "store" / "commits" / "_halfway" / "two").touch()
+    assert store.version() == 1 and store.committed("one") and not store.committed("two") and store.episodes().count() == 0
+    with pytest.raises(Conflict):
+        store.commit(rows, "three", 0)
+    assert store._commits() == {1: "one"} and not store.committed("three")

@@ -3,12 +3,15 @@
 ``episodes/version=N-R`` holds one small row per episode, written whole by run R.
 ``chunks/run_id=R`` holds only what run R produced. An episode row names the run its
 chunks came from, so replacing or pruning an episode touches no chunk file. A commit
-is one file in ``commits``, named by its version and created only if no other writer
-has created it; a reader sees the last committed version only.
+is one folder in ``commits``, named by its version and holding a file named by its run,
+put there by a rename that fails if the folder exists; a reader sees the last committed
+version only. The file system must rename exclusively (HDFS and local ones do).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from py4j.protocol import Py4JJavaError
@@ -60,20 +63,24 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
+    def _commits(self) -> dict[int, str]:
+        """Version and run id of every commit, from one listing."""
+        pattern, fs = self._at("commits/[0-9]*/*")
+        found = fs.globStatus(pattern) or []
+        return {int(f.getPath().getParent().getName()): f.getPath().getName() for f in found}
+
     def version(self) -> int:
-        return max((int(n) for n in self._names("commits")), default=0)
+        return max(self._commits(), default=0)
 
     def committed(self, run_id: str) -> bool:
-        return run_id in {self._run_of(int(n)) for n in self._names("commits")}
-
-    def _run_of(self, version: int) -> str:
-        return self.spark.read.text(f"{self.root}/commits/{version:012d}", wholetext=True).first().value
+        return run_id in self._commits().values()
 
     def episodes(self, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
+        commits = self._commits()
+        version = max(commits, default=0) if version is None else version
         if version == 0:
             return self.spark.createDataFrame([], EPISODES)
-        return self._read(f"episodes/version={version}-{self._run_of(version)}", EPISODES)
+        return self._read(f"episodes/version={version}-{commits[version]}", EPISODES)
 
     def chunks(self) -> DataFrame:
         """Chunks of live episodes only."""
@@ -119,22 +126,28 @@ class Store:
         number = base + 1
         episodes.select(*columns(EPISODES)).write.mode("overwrite").parquet(
             f"{self.root}/episodes/version={number}-{run_id}")
+        # A folder that names the run is made aside and then renamed, which fails where another
+        # writer's folder is there: a commit is whole or absent whenever a writer ends.
         path, fs = self._at(f"commits/{number:012d}")
+        aside, _ = self._at(f"commits/_{uuid.uuid4().hex}")
+        jvm = self.spark._jvm
+        fs.create(jvm.org.apache.hadoop.fs.Path(aside, run_id), True).close()
+        plain = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration())
         try:
-            out = fs.create(path, False)  # fails if the file is there
+            files.rename(files.makeQualified(aside), files.makeQualified(path), plain)
         except Py4JJavaError as exc:
+            fs.delete(aside, True)
             if "AlreadyExists" in exc.java_exception.getClass().getName():
                 raise Conflict(f"version {number} has been committed by another run") from exc
             raise
-        out.write(bytearray(run_id.encode()))
-        out.close()
         return number
 
     def vacuum(self, keep: int = 1, running: tuple[str, ...] = ()) -> list[str]:
         """Deletes the chunk folders that none of the last ``keep`` versions names,
         except those of runs still under way, and older episode versions. Returns
         the run ids whose chunks went."""
-        last = [int(n) for n in self._names("commits")][-keep:]
+        last = sorted(self._commits())[-keep:]
         named = set(running)
         for v in last:
             named |= {r.run_id for r in self.episodes(v).select("run_id").distinct().collect()}
