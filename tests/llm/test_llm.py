@@ -455,7 +455,9 @@ def test_guess_cost():
     assert cost("qwertyuiop") < 5 and cost("aaaaaaaaaaaa") < 5 and cost("abcabcabcabc") < 7
     assert cost("1999-12-31") < 6 and cost("dragon2015") < 8 < cost("d9Gx27Qp1Z")
     assert cost("welcomemonkey") < cost("welcomemoqzey")
-    assert cost("Zx81kq" * 2000) > 1000  # long values are priced whole
+    assert cost("Zx81kq" * 2000) < 20  # a block said again has one price, however often and wherever
+    long = "".join(random.Random(5).choices("bdfhjlnprtvxz2468", k=3000))
+    assert cost(long) > 1000  # long values are priced whole
 
 
 def test_long_values_are_priced_as_one():
@@ -469,6 +471,88 @@ def test_long_values_are_priced_as_one():
     assert abs(cost("k" * 61 + "welcome") - cost("k" * 61) - cost("welcome")) < 0.01  # a word across the 64th character
 
 
+VALUES = st.lists(st.sampled_from(["a", "b", "1", "q", "w", "e", "pass", "Word", "p@s", "2019", "-12", "ab", "é", "aaa", "é1b"]),
+                  min_size=1, max_size=7).map("".join).map(lambda v: v[:14])
+SOME = {"pass": 1, "password": 2, "ana": 3, "éab": 4, "wab": 5}
+
+
+def plain_cost(value):
+    """The least sum over every segmentation, each segment priced by its own rule."""
+    low = "".join(c.lower() for c in value)
+    plain, two = low.translate(secret_scan.LOOK_ALIKE), math.log10(2)
+
+    def price(j, i):
+        n, part = i - j, value[j:i]
+        found = [0.1 + math.log10(secret_scan._alphabet(part))] if n == 1 else []
+        if n >= 3:
+            if low[j:i] in SOME:
+                found.append(math.log10(SOME[low[j:i]] + 1) + (part != low[j:i]) + two)
+            if plain[j:i] in SOME:
+                found.append(math.log10(SOME[plain[j:i]] + 1) + 1.3 + two)
+            if all(low[k:k + 2] in secret_scan.NEIGHBOURS for k in range(j, i - 1)):
+                found.append(math.log10(188 * n) + two)
+            if len(set(part)) == 1:
+                found.append(math.log10(secret_scan._alphabet(part[0]) * n) + two)
+        if secret_scan.DATE.fullmatch(part):
+            found.append(math.log10(365 * 120 if n >= 6 else 12 * 120 if n > 4 else 120) + two)
+        found += [math.log10((p + 1) * n) + two for p in range(1, min(j, n) + 1) if value[j:i] == value[j - p:i - p]]
+        return min(found, default=math.inf)
+
+    def least(i):
+        return 0.0 if i == 0 else min(done[j] + price(j, i) for j in range(i))
+
+    done = []
+    for i in range(len(value) + 1):
+        done.append(least(i))
+    return done[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(VALUES)
+def test_cost_is_the_least_of_all_segmentations(value):
+    assert abs(secret_scan.guess_cost(value, SOME) - plain_cost(value)) < 1e-9
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "a", "aba", "c", "abcabc", "bb"]), max_size=12).map("".join))
+def test_runs_are_all_maximal_repetitions(value):
+    def period(part):
+        return next(p for p in range(1, len(part) + 1) if part[p:] == part[:len(part) - p])
+
+    n = len(value)
+    want = set()
+    for s in range(n):
+        for e in range(s + 2, n + 1):
+            p = period(value[s:e])
+            if e - s >= 2 * p and (s == 0 or value[s - 1] != value[s - 1 + p]) and (e == n or value[e] != value[e - p]):
+                want.add((s, e, p))
+    assert set(secret_scan.periodic_runs(value)) == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["password", "qwertyuiop", "x", "7", "K", "-" * 20, "ab" * 15, "2019-12-31", "zq"]), min_size=1, max_size=40).map("".join),
+       st.sampled_from([3.0, 9.0, 25.0]))
+def test_growing_prefixes_decide_as_the_whole(value, threshold):
+    words = secret_scan.Lexicon(SOME)
+    assert secret_scan.is_costly(value, words, threshold) == (secret_scan.guess_cost(value, words) >= threshold)
+
+
+def test_values_of_any_script_and_place():
+    ranks = {w: i + 1 for i, w in enumerate([*secret_scan.WORDS, "donaudampfschiffahrtsgesellschaft"])}
+
+    def values(t):
+        return [t[a:b] for _, a, b in secret_scan.guess_spans(t, t.encode().lower(), ranks, secret_scan.Prices())]
+
+    assert values('pwd: "Zürich-9xK!pQ2#v"') == ["Zürich-9xK!pQ2#v"] and values("password = пароль-9xK!pQ2") == ["пароль-9xK!pQ2"]
+    assert values('pwd="h7#Kq!zP2wé4"') == ["h7#Kq!zP2wé4"]
+    assert values("mypwd=h7#Kq!zP2w") == ["h7#Kq!zP2w"] and values("dbpassword: h7#Kq!zP2w;") == ["h7#Kq!zP2w"]
+    assert values("spin: h7#Kq!zP2w") == [] and values("pwd=h7#Kq!zP2w\u3000x") == ["h7#Kq!zP2w"]
+    assert secret_scan.guess_cost("donaudampfschiffahrtsgesellschaft", ranks) < 3
+    block, before = "kR7#mQz9!xW2$vT4^nB6&hJ8d", "".join(random.Random(3).choices("bdfhjlnprtvxz2468", k=80))
+    more = lambda head: secret_scan.guess_cost(head + 2 * block, ranks) - secret_scan.guess_cost(head + block, ranks)
+    assert abs(more("") - more(before)) < 0.01 and more("") < 4
+
+
 def test_every_key_has_its_value():
     ranks = {w: i + 1 for i, w in enumerate(secret_scan.WORDS)}
 
