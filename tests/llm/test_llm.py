@@ -55,7 +55,7 @@ def test_curve_is_a_path():
 @pytest.mark.parametrize("law", hilbert_shards.LAWS)
 def test_shards(spark, law):
     docs = documents(spark)
-    dims = [hilbert_shards.text_image(F.col("lang")), F.col("n_chars")]
+    dims = [F.col("lang"), F.col("n_chars")]
     got = hilbert_shards.assign(docs, dims, law=law, shards=4).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows())
     slots, sizes = defaultdict(list), Counter()
@@ -71,9 +71,31 @@ def test_shards(spark, law):
     assert hilbert_shards.assign(empty(spark), dims).count() == 0
 
 
+def test_shards_follow_a_plain_model(spark):
+    """Cells by ranks of the texts and numbers, sorted by curve, id and checksum, cut at equal counts."""
+    rng = random.Random(4)
+    names = [f"https://crawl.example/part-{i:02d}" for i in range(8)]
+    data = [(i, "t" * rng.randrange(9), names[i % 8], rng.randrange(1000)) for i in range(160)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n long").repartition(5)
+    got = {r.doc_id: r for r in hilbert_shards.assign(df, [F.col("source"), F.col("doc_id")], shards=3, bits=3).collect()}
+    cells = np.array([[names.index(s), i * 8 // 160] for i, _, s, _ in data])
+    curve = hilbert_shards.curve_index(cells, 3)
+    order = sorted(range(160), key=lambda i: (curve[i], i))
+    shard = [k * 3 // 160 for k in range(160)]
+    for k, i in enumerate(order):
+        assert (got[i].curve, got[i].shard, got[i].slot) == (curve[i], shard[k], k - shard.index(shard[k])), i
+
+
+def test_texts_are_cut_by_their_ranks(spark):
+    df = spark.createDataFrame([(f"same-long-prefix-{i % 50:03d}",) for i in range(500)] + [("hot",)] * 250, "s string")
+    cuts = hilbert_shards.text_cuts(df.repartition(7), "s", 6)
+    assert cuts == ["hot", "same-long-prefix-012", "same-long-prefix-024", "same-long-prefix-037"]
+    assert hilbert_shards.text_cuts(df.where("false"), "s", 6) == []
+
+
 def test_shards_in_bytes_are_near_equal(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = hilbert_shards.assign(docs, [hilbert_shards.text_image(F.col("lang")), F.col("n_chars")], law="bytes").collect()
+    got = hilbert_shards.assign(docs, [F.col("lang"), F.col("n_chars")], law="bytes").collect()
     sizes = Counter()
     for r in got:
         sizes[r.shard] += r.size

@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
-Every dimension is quantised at its own quantiles, the cell's index on the
+Every dimension, number or text, is quantised at its own quantiles, the cell's index on the
 Hilbert curve orders the rows, and the order is cut into runs. Rows that are
 close in all dimensions share a run, so the minima and maxima of a run (in a
 Parquet footer or in ``manifest``) prune filters on any of the dimensions.
@@ -12,6 +12,7 @@ has a slot of its own. Empty table: empty result. Extra columns are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,12 +27,6 @@ from turnstone.llm.common import written
 LAWS = ("rows", "bytes")
 
 
-def text_image(c: Column, width: int = 7) -> Column:
-    """The first bytes of a text as a number that keeps its order."""
-    head = F.substring(F.encode(c, "UTF-8"), 1, width)
-    return F.conv(F.rpad(F.hex(head), 2 * width, "0"), 16, 10).cast("long")
-
-
 def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
     """Hilbert index of integer points (rows of ``cells``), ``bits`` per axis:
     undo the excess work of the axes, then Gray-encode the transposed bits."""
@@ -59,14 +54,21 @@ def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _indexed(dims: int, bits: int, cuts: list[list[int]]):
-    edges = [np.unique(np.array(c, np.int64)) for c in cuts]
+def _cells(values: pa.Array, edges: list) -> np.ndarray:
+    """How many edges lie below each value."""
+    if pa.types.is_int64(values.type):
+        return np.searchsorted(np.array(edges, np.int64), values.to_numpy(zero_copy_only=False), "left")
+    coded = values.dictionary_encode()
+    at = np.array([bisect_left(edges, t) for t in coded.dictionary.to_pylist()], np.int64)
+    return at[coded.indices.to_numpy(zero_copy_only=False)] if len(at) else np.zeros(len(values), np.int64)
+
+
+def _indexed(dims: int, bits: int, cuts: list[list]):
+    edges = [sorted(set(c)) for c in cuts]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = np.column_stack([
-                np.searchsorted(edges[i], batch.column(f"_d{i}").to_numpy(zero_copy_only=False), "left")
-                for i in range(dims)])
+            cells = np.column_stack([_cells(batch.column(f"_d{i}"), edges[i]) for i in range(dims)])
             rest = batch.select([n for n in batch.schema.names if not n.startswith("_d")])
             yield rest.append_column("curve", pa.array(curve_index(cells, bits), pa.int64()))
 
@@ -86,12 +88,37 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = rows + n, size + int(sizes.sum())
 
 
+def text_cuts(texts: DataFrame, column: str, parts: int) -> list[str]:
+    """At most ``parts - 1`` texts that cut all rows, in the order of their texts, into about
+    equal parts. Counts per distinct text are sorted by range, numbered like the curve,
+    and only the texts at which a part is full reach the driver."""
+    counted = texts.groupBy(F.col(column).alias("t")).agg(F.count("*").alias("size"))
+    schema = "t string, size long, part int, rows_before long, bytes_before long"
+    runs = written(counted.repartitionByRange("t").sortWithinPartitions("t").mapInArrow(_numbered, schema), "texts")
+    offsets = _offsets(runs)
+    before = F.col("bytes_off") + F.col("bytes_before")
+    full = lambda c: F.floor(c * parts / F.col("all_bytes"))
+    met = runs.join(F.broadcast(offsets), "part").where((full(before + F.col("size")) > full(before)) & (before + F.col("size") < F.col("all_bytes")))
+    return sorted(r.t for r in met.select("t").collect())
+
+
+def _offsets(runs: DataFrame) -> DataFrame:
+    """Rows and bytes before each partition of a sort: one row per partition, so the window
+    and the broadcast are bounded by their number."""
+    parts = runs.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return parts.select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_off"), F.sum("n").over(whole).alias("all_rows"),
+        F.coalesce(F.sum("b").over(before), F.lit(0)).alias("bytes_off"), F.sum("b").over(whole).alias("all_bytes"))
+
+
 def assign(docs: DataFrame, dims: Sequence[Column], shards: int = 8, law: str = "rows", bits: int = 5,
            doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve of every row.
 
-    ``dims`` are integer columns (``text_image`` makes one of a text); at most 62
-    bits in all. ``law``: ``rows`` cuts runs of counts at most one apart, ``bytes``
+    ``dims`` are integer or text columns; at most 62 bits in all. A text is ranked among
+    all texts of its column, so a prefix they share costs no precision. ``law``: ``rows`` cuts runs of counts at most one apart, ``bytes``
     cuts at equal shares of the bytes.
 
     The global order is one range shuffle of narrow rows on (curve, id, crc32),
@@ -103,27 +130,23 @@ def assign(docs: DataFrame, dims: Sequence[Column], shards: int = 8, law: str =
     if len(dims) * bits > 62:
         raise ValueError("too many bits")
     t = F.coalesce(F.col(text), F.lit(""))
+    texts = [i for i, f in enumerate(docs.select(*dims).schema) if isinstance(f.dataType, T.StringType)]
     keyed = docs.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(t).cast("long") + 1).alias("size"),
         F.crc32(t).alias("text_crc32"),
-        *[F.coalesce(d.cast("long"), F.lit(-(2**62))).alias(f"_d{i}") for i, d in enumerate(dims)])
+        *[F.coalesce(d, F.lit("")).alias(f"_d{i}") if i in texts else F.coalesce(d.cast("long"), F.lit(-(2**62))).alias(f"_d{i}")
+          for i, d in enumerate(dims)])
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    found = keyed.agg(*[F.percentile_approx(f"_d{i}", steps, 2000).alias(f"c{i}") for i in range(len(dims))]).first()
-    cuts = [list(c or []) for c in found]
+    numbers = [i for i in range(len(dims)) if i not in texts]
+    found = keyed.agg(F.count("*"), *[F.percentile_approx(f"_d{i}", steps, 2000).alias(f"c{i}") for i in numbers]).first()
+    cuts = [text_cuts(keyed, f"_d{i}", 1 << bits) if i in texts else list(found[f"c{i}"] or []) for i in range(len(dims))]
     plain = T.StructType([f for f in keyed.schema.fields if not f.name.startswith("_d")])
     indexed = keyed.mapInArrow(_indexed(len(dims), bits, cuts), T.StructType([*plain.fields, T.StructField("curve", T.LongType())]))
     order = ["curve", "doc_id", "text_crc32"]
     numbered = T.StructType([*indexed.schema.fields, T.StructField("part", T.IntegerType()),
                              T.StructField("rows_before", T.LongType()), T.StructField("bytes_before", T.LongType())])
     runs = written(indexed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, numbered), "curve")
-    # One row per partition of the sort, so the window and the broadcast are bounded by their number.
-    parts = runs.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = parts.select(
-        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_off"), F.sum("n").over(whole).alias("all_rows"),
-        F.coalesce(F.sum("b").over(before), F.lit(0)).alias("bytes_off"), F.sum("b").over(whole).alias("all_bytes"))
-    placed = runs.join(F.broadcast(offsets), "part").withColumns({
+    placed = runs.join(F.broadcast(_offsets(runs)), "part").withColumns({
         "rank": F.col("rows_off") + F.col("rows_before"), "at_byte": F.col("bytes_off") + F.col("bytes_before")})
     if law == "rows":
         shard = F.expr(f"rank * {shards} div all_rows")

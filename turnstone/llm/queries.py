@@ -20,8 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_hilbert_shards(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    dims = [hilbert_shards.text_image(F.col("lang")), hilbert_shards.text_image(F.col("source")),
-            F.coalesce(F.octet_length("text"), F.lit(0)), F.col("doc_id")]
+    dims = [F.col("lang"), F.col("source"), F.coalesce(F.octet_length("text"), F.lit(0)), F.col("doc_id")]
     return hilbert_shards.assign(docs, dims)
 
 
