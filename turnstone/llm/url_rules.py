@@ -39,13 +39,13 @@ def host_key(host: Column) -> Column:
     return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
-def _cuts(keyed: DataFrame, ranges: int) -> list[tuple[str, str]]:
-    """At most ``ranges - 1`` (key, path) cut points of about equal shares, from a
+def _cuts(keyed: DataFrame, ranges: int) -> list[tuple[str, str, int]]:
+    """At most ``ranges - 1`` (key, path, salt) cut points of about equal shares, from a
     sample whose size depends on ``ranges`` only. They steer balance, not results."""
     rows = keyed.count()
     want = 40 * ranges
-    some = keyed.select("key", "path").sample(fraction=min(1.0, 2.0 * want / max(rows, 1)), seed=7).limit(4 * want)
-    found = sorted((r.key, r.path) for r in some.collect())
+    some = keyed.select("key", "path", "salt").sample(fraction=min(1.0, 2.0 * want / max(rows, 1)), seed=7).limit(4 * want)
+    found = sorted(tuple(r) for r in some.collect())
     picked = [found[len(found) * k // ranges] for k in range(1, ranges)] if found else []
     return sorted(set(picked))
 
@@ -93,19 +93,21 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url_id: str
           ranges: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every url. ``rules`` has host, path, verdict.
 
-    Cut points on (key, path) split even a single hot host into ranges. A rule goes to
+    Cut points on (key, path, a hash of the id) split even a single hot host, url or null
+    into ranges; only rows equal in id and url stay together. A rule goes to
     every range its interval meets: the one its key falls into, those the interval
     covers, and no others; at a range's start the stack is filled by those rules."""
     ranges = ranges or max(8, int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     named = parts(urls.select(F.col(url_id).alias("id"), F.col(url).alias("url")))
-    keyed = named.select("id", "host", "path", host_key(F.col("host")).alias("key"))
+    keyed = named.select("id", "host", "path", host_key(F.col("host")).alias("key"), F.xxhash64("id").alias("salt"))
     cuts = _cuts(keyed, ranges)
     kind = keyed.schema["id"].dataType.simpleString()
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where = [bisect_right(cuts, kp) for kp in zip(batch.column("key").to_pylist(), batch.column("path").to_pylist())]
-            yield batch.append_column("part", pa.array(where, pa.int32()))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "path", "salt")))
+            where = [bisect_right(cuts, row) for row in rows]
+            yield batch.drop_columns(["salt"]).append_column("part", pa.array(where, pa.int32()))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,5 +126,5 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url_id: str
     given = known.withColumn("key", host_key(F.col("host"))).select("host", "path", "key", "verdict").mapInArrow(
         spread, "host string, path string, key string, verdict string, part int").select(
         "part", "key", F.lit(0).alias("kind"), "path", F.lit(None).cast(kind).alias("id"), "host", "verdict")
-    return (given.unionByName(asked).repartition(ranges, "part").sortWithinPartitions("part", "key", "kind", "path")
+    return (given.unionByName(asked).repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "key", "kind", "path")
             .mapInArrow(_swept(default), f"page_id {kind}, host string, path string, rule string, verdict string"))
