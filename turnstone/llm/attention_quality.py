@@ -7,6 +7,8 @@ and a logistic layer scores the attention-weighted mean of the passages.
 Cases. Null and empty texts are one empty passage and get a score. Long texts are
 scored whole, passage by passage. Repeated rows are scored each. Without any
 labelled row the score is 0.5; with one class only, that class's smoothed share.
+Of labelled rows that share an id, one is learned from. The sample to learn from is
+bounded in documents and in passages of each; neither bounds what is scored.
 Empty table: empty result. Extra columns are not read.
 """
 
@@ -76,6 +78,7 @@ class Plan:
     rate: float = 0.005
     decay: float = 1e-4
     sample_rows: int = 6000  # labelled documents the fit sees, at most
+    sample_passages: int = 32  # passages of each of them, at most, at even distances over the whole text
     seed: int = 11
 
 
@@ -151,7 +154,8 @@ def train(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, plan: Plan = Pl
 def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 5, plan: Plan = Plan(), doc_id: str = "doc_id",
         text: str = "text", label: str = "quality") -> Model:
     """Learns from labelled documents whose crc32(id) mod ``fold`` is not 0: of those
-    the ``plan.sample_rows`` with the lowest hashed ids, a bounded, documented sample."""
+    the ``plan.sample_rows`` with the lowest hashed ids, and of each at most
+    ``plan.sample_passages``: a bounded, documented sample."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).where("label is not null and doc_id is not null")
     if fold:
         known = known.where(crc_mod("doc_id", fold) != 0)
@@ -163,19 +167,25 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int | None = 5, plan: Plan = P
         for batch in pieces(batches):
             x, counts = encode_passages(utf8(batch.column("text")))
             first = np.cumsum(counts) - counts
-            raw = [x[a:a + n].astype(np.float16).tobytes() for a, n in zip(first, counts)]
+            raw = [x[a + _evenly(n, plan.sample_passages)].astype(np.float16).tobytes() for a, n in zip(first, counts)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array(raw, pa.binary())], names=["doc_id", "label", "x"])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    rows = sorted(narrow.select("doc_id", "text", "label").mapInArrow(encoded, f"doc_id {kind}, label int, x binary").collect(),
-                  key=lambda r: (r.doc_id, r.x))
+    bags = narrow.select("doc_id", "text", "label").mapInArrow(encoded, f"doc_id {kind}, label int, x binary")
+    rows = sorted(bags.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("least")).select("doc_id", "least.*").collect(),
+                  key=lambda r: r.doc_id)
     if not rows:
         return Model(constant=0.5)
     parts = [np.frombuffer(r.x, np.float16).astype(np.float32).reshape(-1, WIDTH) for r in rows]
     return train(np.vstack(parts), np.array([len(p) for p in parts]), np.array([r.label for r in rows], np.float32), plan)
 
 
+def _evenly(n: int, most: int) -> np.ndarray:
+    """``most`` of n places, the first and the last among them; all where there are no more."""
+    return np.arange(n) if n <= most else np.linspace(0, n - 1, most).astype(np.int64)
+
+
 def _scored(model: Model):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
