@@ -325,6 +325,18 @@ def plain_verdict(url, rules, default="allow"):
     return host, path, best and best[3], best[2] if best else default
 
 
+def test_one_url_goes_to_many_ranges(spark):
+    """A third of the rows with one url and a third with none are cut like the others."""
+    data = [(i, [None, "http://hot.example.org/en/1", f"http://h{i}.com/de/"][i % 3]) for i in range(3000)]
+    df = spark.createDataFrame(data, "page_id long, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    got = url_rules.judge(df, rules, ranges=12)
+    sizes = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 1000 and sum(sizes) == 3000
+    found = Counter((r.rule, r.verdict) for r in got.collect())
+    assert found == {(None, "allow"): 1000, ("example.org/en/1", "block"): 1000, ("com/de/", "block"): 1000}
+
+
 def test_url_rules(spark):
     rng = random.Random(4)
     labels = ["a", "b", "com", "org", "example", "", "xn--é", "a-b", "a/b"[:1]]
@@ -405,6 +417,43 @@ def test_attention_finds_the_telling_passage():
     assert weight.mean() > 1.5 * (1 / counts[many]).mean()
 
 
+def test_gradient_of_the_bag_model():
+    """The step of the fit is the slope of the log loss, taken numerically over all layers."""
+    rng = np.random.default_rng(1)
+    counts, labels = np.array([3, 1, 4]), np.array([1, 0, 1], np.float32)
+    x = rng.standard_normal((8, attention_quality.WIDTH)).astype(np.float32)
+    start = attention_quality.train(x, counts, labels, attention_quality.Plan(epochs=0, hidden=3, attention=2))
+    after = attention_quality.train(x, counts, labels, attention_quality.Plan(epochs=1, hidden=3, attention=2, decay=0.0))
+
+    def loss(layers):
+        s = attention_quality.Model({k: v.astype(np.float64) for k, v in layers.items()}).forward(x.astype(np.float64), counts)["s"]
+        return -np.mean(labels * np.log(s) + (1 - labels) * np.log(1 - s))
+
+    for name, layer in start.layers.items():
+        for at in list(np.ndindex(layer.shape))[:12]:
+            slopes = []
+            for step in (1e-5, -1e-5):
+                moved = {k: v.astype(np.float64) for k, v in start.layers.items()}
+                moved[name][at] += step
+                slopes.append(loss(moved))
+            slope = (slopes[0] - slopes[1]) / 2e-5
+            if abs(slope) > 1e-4:  # the first step of Adam goes against the sign of the slope
+                assert np.sign(after.layers[name][at] - layer[at]) == -np.sign(slope), (name, at)
+
+
+def test_the_sample_is_bounded_in_passages(spark):
+    docs = spark.createDataFrame([(i, "word " * (40_000 if i % 2 else 20)) for i in range(1, 41)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)], "doc_id long, quality int")
+    seen = []
+    real, attention_quality.train = attention_quality.train, lambda x, counts, *rest: (seen.append(counts), real(x, counts, *rest))[1]
+    try:
+        model = attention_quality.fit(docs, labels)
+    finally:
+        attention_quality.train = real
+    assert max(seen[0]) == attention_quality.Plan().sample_passages and len(seen[0]) <= 40
+    assert attention_quality.score(docs, model).count() == 80
+
+
 def test_quality_on_held_out_documents(spark):
     sf = SF.replace("0.001", "0.01")
     got = queries.op6_attention_quality(spark, sf)
@@ -440,6 +489,16 @@ def test_token_counts(spark, name):
     assert stored.count() == stored.select("digest").distinct().count() == len({r.text or "" for r in docs.collect()})
 
 
+def test_rows_of_a_frequent_content_do_not_meet(spark, tmp_path):
+    """A third of the rows are one text: they never enter the join by digest."""
+    docs = spark.createDataFrame([(i, "hot words" if i % 3 == 0 else f"text {i}") for i in range(300)], "doc_id long, text string")
+    got = token_counts.counts(docs.repartition(4), queries.VOCABULARY, str(tmp_path / "cache"))
+    assert {r.doc_id for r in got.collect()} == set(range(300)) and got.count() == 300
+    assert len({r.n_tokens for r in got.collect() if r.doc_id % 3 == 0}) == 1 and got.where("n_tokens is null").isEmpty()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2
+
+
 def test_cache_grows_by_misses_only(spark):
     cache = shared_path(spark, "cache")
     docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")

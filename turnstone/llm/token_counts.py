@@ -22,8 +22,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import first_per_task, pieces, utf8
+from turnstone.llm.common import first_per_task, pieces, utf8, written
 
+FREQUENT = 10_000  # a content with over one row in so many is frequent, so there are fewer than so many
 CACHE = "tokenizer string, digest binary, n_tokens long"
 _loaded: dict[str, Callable[[list[str]], list[int]]] = {}
 
@@ -108,11 +109,20 @@ def fill(docs: DataFrame, tokenizer_path: str, cache_path: str, doc_id: str = "d
 
 def counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 1024,
            doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every row."""
+    """doc_id, n_bytes, n_tokens, over_limit of every row.
+
+    The counts of frequent contents are broadcast, so their rows are settled where they
+    lie; by its definition there are fewer than ``FREQUENT``. The others meet by digest."""
     version = fill(docs, tokenizer_path, cache_path, doc_id, text)
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(content).cast("long").alias("n_bytes"),
                        F.unhex(F.sha2(content, 256)).alias("digest"))
+    rows = written(rows, "digests")
     known = read_cache(docs.sparkSession, cache_path, version)
-    return rows.join(known, "digest", "left").select(
+    least = rows.count() / FREQUENT
+    often = rows.groupBy("digest").agg(F.count("*").alias("_rows")).where(F.col("_rows") > F.greatest(F.lit(least), F.lit(1))).select("digest")
+    often = written(known.join(often, "digest"), "frequent")
+    settled = rows.join(F.broadcast(often), "digest")
+    others = rows.join(F.broadcast(often.select("digest")), "digest", "left_anti").join(known, "digest", "left")
+    return settled.unionByName(others).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
