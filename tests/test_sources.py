@@ -36,8 +36,10 @@ def test_decisions(spark):
     assert decisions(spark, [("a", "A", "t", "v1", TALK), ("b", "B", "t", "v2", TALK)]) == {"a": "keep", "b": "keep"}
 
 
-def test_rounds_match_the_greedy_rule(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "PER_ROUND", (2,))
+@pytest.mark.parametrize("at_once", [1_000, 0])
+def test_both_ways_match_the_greedy_rule(spark, monkeypatch, at_once):
+    monkeypatch.setattr(dedup, "AT_ONCE_ROWS", at_once)
+    monkeypatch.setattr(dedup, "PER_ROUND", (8,))
     monkeypatch.setattr(dedup, "PART_ROWS", 3)
     rng = random.Random(11)
     seeds = ["".join(rng.choice("abcdef ") for _ in range(80)) for _ in range(6)]
@@ -59,6 +61,53 @@ def test_rounds_match_the_greedy_rule(spark, monkeypatch):
                 kept.append(body)
 
 
+def test_sequence_bounds_lose_no_alike_text():
+    """Pairs on both sides of the ratio, against the plain comparison."""
+    rng = random.Random(5)
+    rule, seen = dedup.BySequence(0.9), set()
+    for size in (1, 3, 12, 60, 400):
+        for edits in range(0, size // 4 + 2, max(1, size // 40)):
+            a = "".join(rng.choice("etaoin shrdlu\u00e9\U0001f600") for _ in range(size))
+            b = list(a)
+            for _ in range(edits):
+                at = rng.randrange(len(b) + 1)
+                kind = rng.randrange(3)
+                if kind == 0:
+                    b.insert(at, rng.choice("xyz"))
+                elif b and kind == 1:
+                    b.pop(at % len(b))
+                elif b:
+                    b[at % len(b)] = rng.choice("xyz")
+            b = "".join(b)
+            index = rule.kept()
+            for other in ("", "unlike " * 9, b):
+                index.add(other)
+            want = any(rule.alike(a, k) for k in index.texts)
+            assert index.holds(a) == want, (a, b)
+            seen.add((size, want))
+    assert {w for _, w in seen} == {True, False}
+    assert not rule.kept().holds("") and not rule.kept().holds("a")
+
+
+def test_shingle_index_counts_exact_overlap():
+    rng = random.Random(8)
+    rule = dedup.ByShingles(0.5)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(12))) for _ in range(120)]
+    index, kept = rule.kept(), []
+    for text in texts:
+        own = rule.shingles(text)
+        want = any(own and len(own & k) >= 0.5 * len(own | k) for k in kept)
+        assert index.holds(text) == want, text
+        if not want:
+            index.add(text)
+            kept.append(own)
+
+
+def test_null_texts_and_ids(spark):
+    rows = [("a", "G", "t", "v", None), ("b", "G", "t", "v", ""), ("c", "G", "t", None, TALK), ("d", "G", "t", None, TALK)]
+    assert decisions(spark, rows) == {"a": "keep", "b": "duplicate", "c": "keep", "d": "keep"}
+
+
 def write(root, folder, guest, title, vid, body, name="Ana"):
     d = root / "episodes" / folder
     d.mkdir(parents=True, exist_ok=True)

@@ -1,17 +1,19 @@
 """Transcripts that share a source id: copies, and borrowed metadata.
 
-In path order a transcript that reads like one already kept is a copy. That
-order rule is greedy, so it runs in rounds: each round settles the next few
-undecided transcripts of every id and compares all the others with the ones
-kept. A hot id is split over many tasks; what travels to them is only the
-handful of texts just kept.
+In path order a transcript that reads like one already kept is a copy. An id whose
+distinct texts fit a bound is settled in one task, against an index of the texts
+kept. A hotter id goes in rounds: each settles its next few undecided transcripts and
+compares all the others with the ones kept, over many tasks; what travels to them is
+only the handful of texts just kept.
 """
 
 from __future__ import annotations
 
 import difflib
+from collections import Counter, defaultdict
 from itertools import chain, repeat
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,97 +22,178 @@ from turnstone.session import ensure_checkpoint_dir
 from turnstone.settings import DEFAULTS, Settings
 
 KEEP, DUPLICATE, BORROWED = "keep", "duplicate", "borrowed"
-PER_ROUND = (32, 64, 128, 256)  # texts settled per id and round; the last one repeats
+AT_ONCE_ROWS, AT_ONCE_BYTES = 1_024, 8 << 20  # distinct texts of an id that one task settles
+PER_ROUND = (32, 64, 128, 256)  # texts of a hotter id settled per round; the last one repeats
 PART_ROWS = 5_000
+HEADS = "video_id string, source_path string, head string"
 
 
 class BySequence:
-    """Matching-block similarity above ``ratio``. The two cheap bounds are upper
-    bounds, so they only skip comparisons that must fail."""
+    """Matching-block similarity above ``ratio``."""
 
     def __init__(self, ratio: float):
         self.ratio = ratio
 
-    def prepare(self, text: str) -> str:
-        return text
-
     def alike(self, a: str, b: str) -> bool:
-        m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-        return (m.real_quick_ratio() > self.ratio and m.quick_ratio() > self.ratio
-                and m.ratio() > self.ratio)
+        return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() > self.ratio
+
+    def kept(self) -> SequenceIndex:
+        return SequenceIndex(self)
+
+
+class SequenceIndex:
+    """Kept texts with counts of their characters and character runs, so that one
+    array operation rules out the texts that cannot be alike.
+
+    Of texts of T characters together with M matched in each, the shared
+    characters are at least M and the shared runs of q characters at least
+    ``(2q - 1) M - (q - 1) (T + 1)``: an unmatched character spoils at most q runs of its
+    own text and q - 1 that straddle its place in the other. Counts go to hashed
+    cells, which can only raise what is shared, so no alike pair is lost.
+    """
+
+    RUNS, CELLS = (1, 3, 4), 2048
+
+    def __init__(self, rule: BySequence):
+        self.rule, self.texts = rule, []
+        self.cells = np.zeros((16, len(self.RUNS), self.CELLS), np.int32)
+        self.sizes = np.zeros(16, np.int64)
+
+    def counts(self, text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        out = np.zeros((len(self.RUNS), self.CELLS), np.int32)
+        for at, q in enumerate(self.RUNS):
+            n = len(codes) - q + 1
+            if n > 0:
+                key = np.zeros(n, np.uint64)
+                for i in range(q):
+                    key = key * np.uint64(1_000_003) + codes[i:i + n]
+                key *= np.uint64(0x9E3779B97F4A7C15)
+                out[at] = np.bincount((key >> np.uint64(53)).astype(np.int64), minlength=self.CELLS)
+        return out
+
+    def holds(self, text: str) -> bool:
+        """Is ``text`` alike to a kept one?"""
+        n = len(self.texts)
+        both = self.sizes[:n] + len(text)
+        matched = self.rule.ratio * both / 2
+        near = np.flatnonzero(np.minimum(self.sizes[:n], len(text)) >= matched - 1e-6)
+        if not len(near):
+            return False
+        own = self.counts(text)
+        for at, q in enumerate(self.RUNS):
+            shared = np.minimum(self.cells[near, at], own[at]).sum(1)
+            near = near[shared >= (2 * q - 1) * matched[near] - (q - 1) * (both[near] + 1) - 1e-6]
+        return any(self.rule.alike(text, self.texts[i]) for i in near)
+
+    def add(self, text: str) -> None:
+        n = len(self.texts)
+        if n == len(self.sizes):
+            self.cells = np.concatenate([self.cells, np.zeros_like(self.cells)])
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.cells[n], self.sizes[n] = self.counts(text), len(text)
+        self.texts.append(text)
 
 
 class ByShingles:
-    """Jaccard overlap of word ``n``-grams at or above ``threshold``."""
+    """Jaccard overlap of word ``n``-grams at or above ``threshold``. Texts of fewer
+    than ``n`` words are like their equals only."""
 
     def __init__(self, threshold: float, n: int = 3):
         self.threshold, self.n = threshold, n
 
-    def prepare(self, text: str) -> tuple[str, frozenset]:
+    def shingles(self, text: str) -> set:
         w = text.split()
-        return text, frozenset(zip(*(w[i:] for i in range(self.n)), strict=False))
+        return set(zip(*(w[i:] for i in range(self.n)), strict=False))
 
-    def alike(self, a, b) -> bool:
-        x, y = a[1], b[1]
-        if a[0] == b[0]:
-            return True
-        if min(len(x), len(y)) < self.threshold * max(len(x), len(y)) or not (x or y):
-            return False
-        shared = len(x & y)
-        return shared >= self.threshold * (len(x) + len(y) - shared)
+    def kept(self) -> ShingleIndex:
+        return ShingleIndex(self)
+
+
+class ShingleIndex:
+    """Kept texts as posting lists of their shingles: the overlap with all of them is
+    counted at once, and a text that shares nothing is never met."""
+
+    def __init__(self, rule: ByShingles):
+        self.rule, self.sizes, self.at, self.last = rule, [], defaultdict(list), ("", set())
+
+    def _of(self, text: str) -> set:
+        if self.last[0] != text:
+            self.last = (text, self.rule.shingles(text))
+        return self.last[1]
+
+    def holds(self, text: str) -> bool:
+        own = self._of(text)
+        shared = Counter(chain.from_iterable(self.at[g] for g in own if g in self.at))
+        return any(n >= self.rule.threshold * (len(own) + self.sizes[i] - n) for i, n in shared.items())
+
+    def add(self, text: str) -> None:
+        own = self._of(text)
+        for g in own:
+            self.at[g].append(len(self.sizes))
+        self.sizes.append(len(own))
 
 
 def decide_copies(files: DataFrame, settings: Settings = DEFAULTS,
                   same: BySequence | ByShingles | None = None) -> DataFrame:
     """``source_path, decision`` (keep or duplicate) for every file whose
-    ``video_id`` another file also has."""
+    ``video_id`` another file also has. Null texts count as empty."""
     same = same or BySequence(settings.same_text_ratio)
     ensure_checkpoint_dir(files.sparkSession)
-    head = F.substring("body", 1, settings.compare_chars) if settings.compare_chars else F.col("body")
+    body = F.coalesce("body", F.lit(""))
+    head = F.substring(body, 1, settings.compare_chars) if settings.compare_chars else body
     heads = files.select("source_path", "video_id", head.alias("head"))
-    shared = heads.groupBy("video_id").agg(F.count("*").alias("n")).where("n > 1")
-    members = heads.join(shared, "video_id", "left_semi")
     # Equal heads share their first one's fate or are its copies: settled by hash.
-    keyed = members.withColumn("h", F.sha2("head", 256))
-    first = keyed.groupBy("video_id", "h").agg(F.min("source_path").alias("first_path"))
-    marked = keyed.join(first, ["video_id", "h"])
-    repeats = marked.where(F.col("source_path") != F.col("first_path")).select("source_path")
-    undecided = marked.where(F.col("source_path") == F.col("first_path")).select(
-        "video_id", "source_path", "head").checkpoint()
+    keyed = heads.where("video_id is not null").withColumn("h", F.sha2("head", 256))
+    texts = keyed.groupBy("video_id", "h").agg(
+        F.min("source_path").alias("first_path"), F.count("*").alias("n"), F.first(F.octet_length("head")).alias("b"))
+    ids = texts.groupBy("video_id").agg(
+        F.sum("n").alias("n"), F.count("*").alias("texts"), F.sum("b").alias("b")).where("n > 1").select(
+        "video_id", "texts", ((F.col("texts") <= AT_ONCE_ROWS) & (F.col("b") <= AT_ONCE_BYTES)).alias("at_once"))
+    marked = keyed.join(texts.select("video_id", "h", "first_path"), ["video_id", "h"]).join(ids, "video_id")
+    marked = marked.select("video_id", "source_path", "texts", "at_once", (F.col("source_path") == F.col("first_path")).alias("first"),
+                           F.when(F.col("source_path") == F.col("first_path"), F.col("head")).alias("head")).checkpoint()
+    # One text under the id: its first file stays.
+    out = marked.where("not first or texts = 1").select(
+        "source_path", F.when(F.col("first"), F.lit(KEEP)).otherwise(F.lit(DUPLICATE)).alias("decision"))
+    several = marked.where("first and texts > 1")
+    judged = several.where("at_once").select("video_id", "source_path", "head").groupBy("video_id").applyInPandas(
+        _greedy(same), f"{HEADS}, kept boolean")
+    settled = [judged.select("source_path", "kept")]
+    hot = several.where("not at_once").select("video_id", "source_path", "head")
+    settled += _in_rounds(hot, same)
+    for part in settled:
+        out = out.unionByName(part.select("source_path", F.when(
+            F.col("kept"), F.lit(KEEP)).otherwise(F.lit(DUPLICATE)).alias("decision")))
+    return out
+
 
+def _in_rounds(undecided: DataFrame, same) -> list[DataFrame]:
+    """Parts of ``source_path, kept`` that together decide every row."""
     settled = []
     for take in chain(PER_ROUND, repeat(PER_ROUND[-1])):
         if undecided.isEmpty():
-            break
+            return settled
         w = Window.partitionBy("video_id").orderBy("source_path")
         batch = undecided.withColumn("_rn", F.row_number().over(w)).where(
             F.col("_rn") <= take).drop("_rn")
-        judged = batch.groupBy("video_id").applyInPandas(
-            _greedy(same), "video_id string, source_path string, head string, kept boolean"
-        ).checkpoint()
+        judged = batch.groupBy("video_id").applyInPandas(_greedy(same), f"{HEADS}, kept boolean").checkpoint()
         settled.append(judged.select("source_path", "kept"))
         rest = undecided.join(judged, "source_path", "left_anti")
         compared = _compare(rest, judged.where("kept").drop("kept"), same).checkpoint()
         settled.append(compared.where("copy").select("source_path", F.lit(False).alias("kept")))
         undecided = compared.where(~F.col("copy")).drop("copy")
 
-    out = repeats.select("source_path", F.lit(DUPLICATE).alias("decision"))
-    for part in settled:
-        out = out.unionByName(part.select("source_path", F.when(
-            F.col("kept"), F.lit(KEEP)).otherwise(F.lit(DUPLICATE)).alias("decision")))
-    return out
-
 
 def _greedy(same):
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("source_path")
-        kept: list = []
-        flags = []
-        for head in map(same.prepare, group["head"]):
-            fresh = not any(same.alike(head, k) for k in kept)
+        index, flags = same.kept(), []
+        for head in group["head"]:
+            fresh = not index.holds(head)
             flags.append(fresh)
             if fresh:
-                kept.append(head)
+                index.add(head)
         return group.assign(kept=flags)[["video_id", "source_path", "head", "kept"]]
 
     return settle
@@ -127,14 +210,14 @@ def _compare(rest: DataFrame, kept: DataFrame, same) -> DataFrame:
         "video_id", "head", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        new = [same.prepare(h) for h in b["head"]]
-        copies = [any(same.alike(h, k) for k in new) for h in map(same.prepare, a["head"])]
-        return a.assign(copy=pd.Series(copies, index=a.index, dtype=bool))[
+        index = same.kept()
+        for head in b["head"]:
+            index.add(head)
+        return a.assign(copy=pd.Series(map(index.holds, a["head"]), index=a.index, dtype=bool))[
             ["video_id", "source_path", "head", "copy"]]
 
     return left.groupBy("video_id", "_part").cogroup(
-        right.groupBy("video_id", "_part")).applyInPandas(
-        meet, "video_id string, source_path string, head string, copy boolean")
+        right.groupBy("video_id", "_part")).applyInPandas(meet, f"{HEADS}, copy boolean")
 
 
 def metadata_owners(members: DataFrame) -> DataFrame:

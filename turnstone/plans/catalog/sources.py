@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as tx
 from turnstone.operators import ad_blocks, dedup, maintain, pack, parse
 from turnstone.plans import ingest
 from turnstone.plans.catalog import tables as t
-from turnstone.settings import Settings
+from turnstone.settings import DEFAULTS, Settings
 from turnstone.sources import transcripts
 
 QUERIES, ORACLES = {}, {}
@@ -295,6 +297,12 @@ def duplicate_sources(spark, sf):
     return dedup.decide(_files(spark, sf), same=SAME).select("source_path", "decision")
 
 
+@query("duplicate_sources_whole", RECURSIVE.replace("left(text, 3000)", "text") + "SELECT source_path, decision FROM decided")
+def duplicate_sources_whole(spark, sf):
+    """Copies by their whole texts, not their first characters."""
+    return dedup.decide(_files(spark, sf), replace(DEFAULTS, compare_chars=0), same=SAME).select("source_path", "decision")
+
+
 @query("duplicate_by_sequence", f"""
 WITH f AS (SELECT {PATH_SQL} AS source_path, doc_id // 8 AS g, doc_id % 2 = 0 AS same FROM documents)
 SELECT source_path, CASE WHEN same AND source_path > min(source_path) FILTER (same) OVER (PARTITION BY g) THEN 'duplicate' ELSE 'keep' END AS decision
