@@ -64,8 +64,30 @@ def test_order_statistics(spark, n):
     values = [rng.choice([1, 5, rng.randint(0, 10_000)]) for _ in range(n)]
     r = evaluate.latency_summary(spark.createDataFrame([(v,) for v in values], "latency_ms int")).first()
     assert (r.n, r.p50, r.p95, r.max) == (n, statistics.median(values), sorted(values)[int(0.95 * n)], max(values))
-    counts = order_stats.value_counts(spark.createDataFrame([("k", v) for v in values], "k string, v int"), ["k"], "v")
-    assert order_stats.order_statistics(counts, ["k"], "v", {"x": F.lit(1)}).first().x == min(values)
+    rows = spark.createDataFrame([("k", v) for v in values], "k string, v int")
+    assert order_stats.order_statistics(rows, ["k"], "v", {"x": F.lit(1)}).first().x == min(values)
+
+
+def test_order_statistics_of_many_values(spark, monkeypatch):
+    """A hot key with heavy ties, cut into blocks; states kept per day and merged; a sketch that is wrong."""
+    rng = random.Random(3)
+    rows = [("hot" if i % 4 else f"k{i % 7}", i % 5, float("nan") if i % 97 == 0 else None if i % 89 == 0 else
+             float(rng.choice([7, rng.randint(0, 900), rng.gauss(0, 400)]))) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "k string, day int, v double").cache()
+    ranks = {"first": F.lit(1), "mid": order_stats.index_rank(0.5), "late": order_stats.index_rank(0.99), "last": F.col("total")}
+    want = {}
+    for k in {r[0] for r in rows}:
+        vs = sorted(v for kk, _, v in rows if kk == k and v is not None and v == v)
+        want[k] = (len(vs), vs[0], vs[int(0.5 * len(vs))], vs[int(0.99 * len(vs))], vs[-1])
+    days = order_stats.sketches(df, ["k", "day"], "v")
+    kept = days.groupBy("k").agg(F.sum("total").alias("total"), order_stats.merged("sketch").alias("sketch"))
+    wrong = kept.join(order_stats.sketches(spark.createDataFrame([(9e9,)] * 50, "v double"), [], "v").select(
+        F.col("sketch").alias("other"))).select("k", "total", F.col("other").alias("sketch"))
+    for block, states in ((65_536, None), (20, kept), (65_536, wrong)):
+        monkeypatch.setattr(order_stats, "BLOCK", block)
+        got = order_stats.order_statistics(df, ["k"], "v", ranks, states)
+        assert {r.k: tuple(r)[1:] for r in got.collect()} == want
+    assert order_stats.order_statistics(df.where("false"), ["k"], "v", ranks).count() == 0
 
 
 def test_sessions(spark):

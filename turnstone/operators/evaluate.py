@@ -55,12 +55,11 @@ def retrieval_summary(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFra
 
 
 def latency_summary(rows: DataFrame, keys=(), value: str = "latency_ms") -> DataFrame:
-    """Median, ``sorted[int(0.95 n)]`` and maximum, exact."""
+    """Median, ``sorted[int(0.95 n)]`` and maximum, exact. Null and NaN do not count."""
     keyed = rows.select(*keys, F.lit(0).alias("_all"), value)
-    by = [*keys, "_all"]
     low, high = order_stats.median_ranks()
     stats = order_stats.order_statistics(
-        order_stats.value_counts(keyed, by, value), by, value,
+        keyed, [*keys, "_all"], value,
         {"_low": low, "_high": high, "p95": order_stats.index_rank(0.95), "max": F.col("total")})
     return stats.select(*keys, F.col("total").alias("n"),
                         ((F.col("_low") + F.col("_high")) / 2).alias("p50"), "p95", "max")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.operators.order_stats import index_rank, order_statistics
+from turnstone.operators import order_stats
 from turnstone.session import ensure_checkpoint_dir
 from turnstone.settings import DEFAULTS, Settings
 
@@ -16,30 +16,26 @@ LOG = "ts timestamp, type string, name string, ms double, failed boolean"
 def request_summary(log: DataFrame) -> DataFrame:
     """Per endpoint and over all: requests, failures, req/s, p50, p95, p99.
 
-    The log is reduced to one row per endpoint and latency first, and once more over
-    all endpoints; that table is written out, so the log is read and shuffled once.
+    A first pass keeps counts and a sketch per endpoint, which merge into the total's;
+    a second counts the latencies near the wanted ranks.
     """
     ensure_checkpoint_dir(log.sparkSession)
-    seen = log.groupBy("type", "name", "ms").agg(
-        F.count("*").alias("n"), F.count_if("failed").alias("bad"),
-        F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    is_total = F.grouping_id() > 0
-    counts = seen.groupingSets(
-        [["type", "name", "ms"], ["ms"]], "type", "name", "ms").agg(
-        is_total.alias("_all"), F.sum("n").alias("n"), F.sum("bad").alias("bad"),
-        F.min("t0").alias("t0"), F.max("t1").alias("t1"))
-    counts = counts.withColumn("type", F.when(F.col("_all"), F.lit("")).otherwise(F.col("type"))
-                               ).withColumn("name", F.when(F.col("_all"), F.lit(TOTAL)).otherwise(
-                                   F.col("name"))).drop("_all").checkpoint()
     keys = ["type", "name"]
-    sums = counts.groupBy(*keys).agg(
-        F.sum("n").alias("requests"), F.sum("bad").alias("failures"),
-        F.min("t0").alias("t0"), F.max("t1").alias("t1"))
-    whole = counts.where(F.col("name") == TOTAL).agg(((F.max("t1").cast("timestamp").cast("double")
-                       - F.min("t0").cast("timestamp").cast("double"))).alias("s")).scalar()
-    stats = order_statistics(counts.select(*keys, "ms", "n"), keys, "ms", {
-        "p50": index_rank(0.5), "p95": index_rank(0.95), "p99": index_rank(0.99)})
-    return sums.join(stats.drop("total"), keys).select(
+    each = log.groupBy(*keys).agg(
+        F.count("*").alias("requests"), F.count_if("failed").alias("failures"), F.min("ts").alias("t0"),
+        F.max("ts").alias("t1"), F.count_if(order_stats.is_value("ms")).alias("total"), order_stats.sketch("ms").alias("sketch")).checkpoint()
+    over_all = each.agg(
+        *[F.sum(c).alias(c) for c in ("requests", "failures")], F.min("t0").alias("t0"), F.max("t1").alias("t1"),
+        F.sum("total").alias("total"), order_stats.merged("sketch").alias("sketch")).where("requests > 0").select(
+        F.lit("").alias("type"), F.lit(TOTAL).alias("name"), "*")
+    whole = each.agg((F.max("t1").cast("timestamp").cast("double")
+                      - F.min("t0").cast("timestamp").cast("double")).alias("s")).scalar()
+    sums = each.unionByName(over_all)
+    both = log.select(F.explode(F.array(
+        F.struct("type", "name"), F.struct(F.lit("").alias("type"), F.lit(TOTAL).alias("name")))).alias("k"), "ms").select("k.*", "ms")
+    ranks = {f"p{p}": order_stats.index_rank(p / 100) for p in (50, 95, 99)}
+    stats = order_stats.order_statistics(both, keys, "ms", ranks, sums.select(*keys, "total", "sketch"))
+    return sums.drop("total", "sketch").join(stats.drop("total"), keys, "left").select(
         *keys, "requests", "failures",
         (F.col("requests") / F.nullif(whole, F.lit(0.0))).alias("per_second"),
         "p50", "p95", "p99")

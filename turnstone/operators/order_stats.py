@@ -1,4 +1,11 @@
-"""Exact order statistics per key without sorting a key in one task."""
+"""Exact order statistics per key without sorting a key in one task.
+
+A first pass keeps one KLL sketch per key: a small state that merges over days,
+partitions or keys. Its quantiles a little to each side of a rank bracket the value
+there. A second pass counts: values inside a bracket each, all between two brackets
+as one number, so that little more than the brackets is shuffled. A rank that falls
+outside its bracket, which the sketch makes very unlikely, is looked up again without.
+"""
 
 from __future__ import annotations
 
@@ -7,61 +14,92 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstone.operators.running import Running, running, spread_blocks
-
-SPLITS = 255
-
-
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-
-
-def order_statistics(counts: DataFrame, keys: Sequence[str], value: str,
-                     ranks: Mapping[str, Column]) -> DataFrame:
-    """Per key the value at each one-based rank; a rank is an expression over
-    ``total``, the number of rows of the key. ``counts`` comes from
-    ``value_counts``.
-
-    Values fall into slices by an approximate-quantile sketch. Slice totals show
-    which slice holds each rank, and only those slices are looked into.
-    """
-    keys = list(keys)
-    sketch = F.percentile_approx(
-        F.col(value).cast("double"),
-        F.array(*[F.lit((i + 1) / (SPLITS + 1)) for i in range(SPLITS)]), F.lit(1000))
-    cuts = counts.groupBy(*keys).agg(sketch.alias("_cuts"))
-    sliced = counts.join(cuts, keys).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value).cast("double")))
-    ).drop("_cuts")
-    totals = sliced.groupBy(*keys, "_slice").agg(F.sum("n").alias("_n"))
-    along = Window.partitionBy(*keys).orderBy("_slice")
-    placed = totals.select(
-        *keys, "_slice", "_n",
-        F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_start"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("total"))
-    wanted = placed.select(
-        *keys, "_slice", "_start", "total",
-        F.explode(F.array(*[
-            F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank"))
-            for name, rank in ranks.items()])).alias("_w"), "_n",
-    ).where((F.col("_w.rank") > F.col("_start"))
-            & (F.col("_w.rank") <= F.col("_start") + F.col("_n")))
-    needed = wanted.groupBy(*keys, "_slice", "_start", "total").agg(
-        F.collect_list("_w").alias("_ws"))  # at most one entry per wanted rank
-    # A slice has a 256th of the distinct values, which is still many: its running
-    # counts are made in blocks of rows.
-    inside, order = [*keys, "_slice"], [F.col(value)]
-    blocks = spread_blocks(sliced.join(needed, inside), inside, order)
-    reached = running(blocks, inside, order, F.col("_spread"), [Running("_cum", "sum", F.col("n"))]).withColumn(
-        "_upto", F.col("_start") + F.col("_cum"))
-    first_at = [F.min(F.when(F.col("_upto") >= _rank_of(name), F.col(value))).alias(name)
-                for name in ranks]
-    return reached.groupBy(*keys).agg(F.max("total").alias("total"), *first_at)
-
-
-def _rank_of(name: str) -> Column:
-    return F.get(F.filter("_ws", lambda w: w["name"] == name), F.lit(0))["rank"]
+from turnstone.operators.running import BLOCK, Running, running, spread_blocks
+from turnstone.session import ensure_checkpoint_dir
+
+SKETCH_K = 800  # rank error about 0.35 %
+STEPS = 200  # of the quantiles read from a sketch
+MARGIN = 2  # steps from a rank to the ends of its bracket, 1 %
+
+
+def is_value(value: str) -> Column:
+    """Null and NaN are no values and have no rank."""
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+
+
+def sketch(value: str) -> Column:
+    """An aggregate: the mergeable state of a column's values."""
+    return F.kll_sketch_agg_double(F.when(is_value(value), F.col(value).cast("double")), F.lit(SKETCH_K))
+
+
+def merged(column: str) -> Column:
+    """An aggregate: the state of several states."""
+    return F.kll_merge_agg_double(column, F.lit(SKETCH_K))
+
+
+def sketches(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Per key ``total``, the number of values, and their ``sketch``."""
+    return rows.where(is_value(value)).groupBy(*keys).agg(
+        F.count("*").alias("total"), sketch(value).alias("sketch"))
+
+
+def order_statistics(rows: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column],
+                     states: DataFrame | None = None) -> DataFrame:
+    """Per key ``total`` and the value at each one-based rank; a rank is an expression
+    over ``total``. Keys must not be null; a key without values has no row. ``rows``
+    is read twice, or once if ``states`` (keys, total, sketch) is kept."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    keys, names = list(keys), list(ranks)
+    states = sketches(rows, keys, value) if states is None else states.where("total > 0")
+    wanted = states.select(*keys, "total", "sketch", *[r.cast("long").alias(f"_r{i}") for i, r in enumerate(ranks.values())])
+    found = _look(rows, keys, value, names, wanted, MARGIN)
+    holes = found.where(" or ".join(f"`{n}` is null" for n in names))
+    if not holes.isEmpty():
+        missed = wanted.join(holes, keys, "left_semi")
+        again = _look(rows.join(missed.select(*keys), keys, "left_semi"), keys, value, names, missed, STEPS)
+        found = found.join(again, keys, "left_anti").unionByName(again)
+    return found
+
+
+def _look(rows: DataFrame, keys: list[str], value: str, names: list[str], wanted: DataFrame, margin: int) -> DataFrame:
+    """A rank outside its bracket comes back as null."""
+    steps = ", ".join(f"{i / STEPS}D" for i in range(STEPS + 1))
+    wanted = wanted.withColumn("_grid", F.expr(f"kll_sketch_get_quantile_double(sketch, array({steps}))"))
+
+    def low(i: int) -> Column:
+        step = F.floor(F.col(f"_r{i}") * STEPS / F.col("total")).cast("int") - margin
+        return F.when(step > 0, F.get("_grid", step)).otherwise(float("-inf"))
+
+    def high(i: int) -> Column:
+        step = F.ceil(F.col(f"_r{i}") * STEPS / F.col("total")).cast("int") + margin
+        return F.when(step < STEPS, F.get("_grid", step)).otherwise(float("inf"))
+
+    every = range(len(names))
+    brackets = wanted.select(*keys, "total", *[f"_r{i}" for i in every], *[low(i).alias(f"_l{i}") for i in every],
+                             *[high(i).alias(f"_h{i}") for i in every]).checkpoint()
+    v = F.col(value).cast("double")
+    # How many bounds lie below a value orders the stretches between them.
+    stretch = sum(((F.col(f"_{s}{i}") < v).cast("int") for i in every for s in "lh"), F.lit(0))
+    covered = F.lit(False)
+    for i in every:
+        covered = covered | ((v >= F.col(f"_l{i}")) & (v <= F.col(f"_h{i}")))
+    bounds = brackets.drop("total", *[f"_r{i}" for i in every])
+    cells = rows.where(is_value(value)).join(bounds, keys).groupBy(
+        *keys, stretch.alias("_stretch"), F.when(covered, F.col(value)).alias("_value")).agg(F.count("*").alias("_n"))
+    # Uncounted values of a stretch lie below its last one, which may be a bound itself.
+    order = [F.col("_stretch"), F.col("_value").asc_nulls_first()]
+    share = min(1.0, len(names) * (2 * margin + 2) / STEPS)  # about, of a key's rows
+    largest = brackets.agg(F.max("total")).first()[0] or 0
+    if largest * share <= BLOCK:
+        along = Window.partitionBy(*keys).orderBy(*order)
+        upto = cells.withColumn("_upto", F.sum("_n").over(along))
+    else:
+        blocks = spread_blocks(cells.checkpoint(), keys, order)
+        upto = running(blocks, keys, order, F.col("_spread"), [Running("_upto", "sum", F.col("_n"))])
+    reached = [F.min_by("_value", F.when(F.col("_upto") >= F.col(f"_r{i}"), F.col("_upto"))).alias(n)
+               for i, n in enumerate(names)]
+    return upto.join(brackets.select(*keys, "total", *[f"_r{i}" for i in every]), keys).groupBy(*keys).agg(
+        F.first("total").alias("total"), *reached).checkpoint()
 
 
 def index_rank(fraction: float) -> Column:
