@@ -263,6 +263,19 @@ def test_span_stream(spark, tmp_path):
     assert [r.id for r in spans.read(table, limit=1).collect()] == ["2"]
 
 
+def test_resent_spans_are_stored_once(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    line = '{"id":%s,"session_id":"s","request_id":"r","kind":"k","name":"%s","started_at":"%s 00:00:00"}\n'
+    run = lambda: spans.append(spans.stream(spark, str(inbox)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    (inbox / "a.json").write_text(line % ('"1"', "first", "2024-01-09") + line % ('"1"', "first", "2024-01-09") + line % ("null", "x", "2024-01-09") * 2)
+    run()
+    (inbox / "b.json").write_text(line % ('"1"', "again", "2024-01-09") + line % ('"old"', "late", "2020-01-01"))
+    run()
+    got = sorted((r.id or "", r.name) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("", "x"), ("", "x"), ("1", "first"), ("old", "late")]
+
+
 def test_same_path_wins_residual_collision(spark):
     df = spark.createDataFrame([("/a/x/t.md", "v"), ("/b/x/t.md", "v"), ("/c/y/t.md", "w")], "source_path string, video_id string")
     assert {r.source_path[1]: r.collides for r in dedup.first_per_id(df).collect()} == {"a": False, "b": True, "c": False}

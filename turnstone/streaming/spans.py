@@ -15,10 +15,16 @@ def stream(spark: SparkSession, inbox: str) -> DataFrame:
     return spark.readStream.schema(SPANS).json(inbox)
 
 
-def append(spans: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """The file sink's own log makes a retried batch appear once. Spans land in
-    daily folders so that reads by time prune."""
-    return (spans.withColumn("day", F.to_date("started_at"))
+def append(spans: DataFrame, path: str, checkpoint: str, resend: str = "1 day") -> StreamingQuery:
+    """The file sink's own log makes a retried batch appear once, and a span sent again
+    within ``resend`` of its first arrival is dropped, over restarts too. The watermark
+    follows arrival, not ``started_at``, so a span is never too late to be stored; its
+    state holds the ids of one such period. Spans without an id are all stored. Spans
+    land in daily folders so that reads by time prune."""
+    key = F.coalesce("id", F.concat(F.lit("none-"), F.uuid()))
+    once = (spans.withColumns({"_arrived": F.current_timestamp(), "_key": key})
+            .withWatermark("_arrived", resend).dropDuplicatesWithinWatermark(["_key"]).drop("_arrived", "_key"))
+    return (once.withColumn("day", F.to_date("started_at"))
             .writeStream.format("parquet").option("path", path).partitionBy("day")
             .option("checkpointLocation", checkpoint).outputMode("append")
             .trigger(availableNow=True).start())
