@@ -103,6 +103,48 @@ def test_shingle_index_counts_exact_overlap():
             kept.append(own)
 
 
+@pytest.mark.parametrize("at_once", [20, 0])
+def test_hot_ids_in_parts_match_the_greedy_rule(spark, monkeypatch, at_once):
+    """Families of near copies, a sentence many texts share, one id large enough for parts
+    and parts too large for one task; the plan holds as many tables after any number of rounds."""
+    monkeypatch.setattr(dedup, "AT_ONCE_ROWS", at_once)
+    monkeypatch.setattr(dedup, "PER_ROUND", (2,))
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    seeds = [[rng.choice(words) for _ in range(rng.randrange(1, 24))] for _ in range(14)]
+    rows = []
+    for i in range(120):
+        text = list(rng.choice(seeds))
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        if i % 4 == 0:
+            text += "all of this is under the same license".split()
+        rows.append((f"/c/p{i:03d}/t.md", "hot" if i % 5 else "warm", " ".join(text)))
+    df = spark.createDataFrame(rows, "source_path string, video_id string, body string")
+    rule = dedup.ByShingles(0.5)
+    found = dedup.decide_copies(df, same=rule)
+    got = {r.source_path: r.decision for r in found.collect()}
+    for vid in ("hot", "warm"):
+        kept = []
+        for path, v, body in rows:
+            if v == vid:
+                own = rule.shingles(body)
+                copy = any(body == b or (own and len(own & k) >= 0.5 * len(own | k)) for b, k in kept)
+                assert (got[path] == "duplicate") == copy, path
+                if not copy:
+                    kept.append((body, own))
+    assert len(found.inputFiles()) > 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 5, plan
+
+
+def test_connected_links(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 100), (95, 101), (200, 201)]
+    got = {(r.a, r.b) for r in dedup.connected(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {(i, 0) for i in range(1, 41)} | {(95, 90), (100, 90), (101, 90), (201, 200)}
+    assert dedup.connected(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
 def test_null_texts_and_ids(spark):
     rows = [("a", "G", "t", "v", None), ("b", "G", "t", "v", ""), ("c", "G", "t", None, TALK), ("d", "G", "t", None, TALK)]
     assert decisions(spark, rows) == {"a": "keep", "b": "duplicate", "c": "keep", "d": "keep"}
