@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ class HashedTerms:
 
     def slot(self, term: str) -> int:
         if (at := self._slots.get(term)) is None:
-            if len(self._slots) > 1_000_000:
+            if len(self._slots) > 200_000:
                 self._slots.clear()
             at = int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % self.dim
             self._slots[term] = at
@@ -49,18 +49,22 @@ def encoder_column(source: Column, make: Callable[[], object], mode: str) -> Col
     """An ``array<float>`` column. The encoder is made once per Python worker; a
     null input costs nothing and stays null."""
 
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = make()
+    @F.arrow_udf("array<float>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, kind = make(), pa.list_(pa.float32())
         for batch in batches:
-            out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            present = batch.index[batch.notna()]
-            for start in range(0, len(present), MODEL_BATCH):
-                at = present[start:start + MODEL_BATCH]
-                vectors = encoder.encode(batch[at].tolist(), mode).astype("float32")
-                for i, v in zip(at, vectors, strict=True):
-                    out[i] = v
-            yield out
+            # Only so many inputs are Python objects at a time, however long a batch is.
+            parts = [pa.array([], kind)]
+            for start in range(0, len(batch), MODEL_BATCH):
+                inputs = batch.slice(start, MODEL_BATCH).to_pylist()
+                present = [i for i, v in enumerate(inputs) if v is not None]
+                out = [None] * len(inputs)
+                if present:
+                    vectors = encoder.encode([inputs[i] for i in present], mode).astype("float32")
+                    for i, v in zip(present, vectors, strict=True):
+                        out[i] = v
+                parts.append(pa.array(out, kind))
+            yield pa.concat_arrays(parts)
 
     return encode(source)
 
