@@ -172,3 +172,17 @@ def test_query_blocks(spark, indexed):
     q = asked(spark, *QUERIES)
     rows = lambda s: sorted(map(str, postings.search(q, index, settings=s).collect()))
     assert rows(Settings(query_rows=1)) == rows(DEFAULTS)
+
+
+def test_blocks_come_from_a_slice_at_once():
+    """Chunks in any order, an empty and a null one, two words with one stem, a stop word."""
+    import pyarrow as pa
+
+    bags = pa.table({"slice": [3] * 4, "length": [3, 0, 2, 0], "chunk_id": [7, 9, 8, 6], "same": [1, 2, 3, 4],
+                     "words": ["loops the loop x", "", "x loop", None]})
+    known = pa.table({"slice": [3] * 3, "term": ["loop", "loops", "x"], "stem": ["loop", "loop", "x"]})
+    got = {r["term"]: r for r in postings._packed(bags, known).to_pylist()}
+    assert set(got) == {"loop", "x"} and all(r["slice"] == 3 and (r["lo"], r["hi"], r["n"]) == (2, 3, 2) for r in got.values())
+    read = lambda term, c: postings.unpack(got[term][c]).tolist()
+    assert (read("loop", "docs"), read("loop", "counts"), read("loop", "lengths"), read("loop", "positions")) == ([0, 1], [1, 2], [2, 3], [1, 0, 2])
+    assert read("x", "positions") == [0, 3]

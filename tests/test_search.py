@@ -223,3 +223,28 @@ def test_token_estimate_matches_rule(spark):
     df = spark.range(0, 3000).select(F.repeat(F.lit("w "), F.col("id").cast("int")).alias("t"), "id")
     got = {r.id: r.n for r in df.select("id", tx.token_estimate(F.col("t")).alias("n")).collect()}
     assert got == {n: max(1, int(n * 1.3)) for n in range(3000)}
+
+
+def test_terms_are_counted_in_parts_of_bounded_size(spark, monkeypatch):
+    from turnstone.operators import keyword
+
+    monkeypatch.setattr(keyword, "PART_BYTES", 64)
+    chunks = spark.range(40).selectExpr("id AS chunk_id", "concat('loops loop price', id) AS text")
+    table = keyword.term_table(chunks)
+    assert table.rdd.getNumPartitions() >= 10
+    assert {(r.chunk_id, r.length, r.tf) for r in table.where("term = 'loop'").collect()} == {(i, 3, 2) for i in range(40)}
+
+
+def test_transcripts_are_packed_a_few_at_a_time():
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql import types as T
+
+    from turnstone.operators import pack
+
+    schema = to_arrow_schema(T.StructType([T.StructField("k", T.LongType()), T.StructField("chunks", pack.CHUNKS)]))
+    turn = [{"speaker": "A", "start_seconds": 1, "text": "one two", "is_sponsor": False}]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(100)), "turns": [turn if i % 9 else None for i in range(100)]})
+    made = list(pack._per_batch(["k"], schema, 60, 20)([batch]))
+    assert max(b.num_rows for b in made) <= pack.AT_ONCE and [k for b in made for k in b.column("k").to_pylist()] == list(range(100))
+    assert [len(c) for b in made for c in b.column("chunks").to_pylist()] == [1 if i % 9 else 0 for i in range(100)]
