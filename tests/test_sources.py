@@ -36,6 +36,25 @@ def test_decisions(spark):
     assert decisions(spark, [("a", "A", "t", "v1", TALK), ("b", "B", "t", "v2", TALK)]) == {"a": "keep", "b": "keep"}
 
 
+def test_no_side_of_a_join_passes_the_driver(spark, monkeypatch):
+    """However few bytes a table packs into: neither what is written on the way nor the
+    result broadcasts."""
+    plans, write = [], dedup.stored
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(dedup, "stored", watched)
+    monkeypatch.setattr(dedup, "AT_ONCE_ROWS", 4)
+    rows = [(f"/c/p{i:02d}/transcript.md", "Ana Bell", "Ana Bell", "hot" if i % 3 else f"v{i % 2}", f"{TALK} {i % 7} " * (i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    decided = dedup.drop_borrowed(dedup.decide(df.withColumn("content_hash", F.sha2("body", 256)), same=dedup.ByShingles(0.5)))
+    judged = ingest.outcomes(decided, decided.select("video_id", "content_hash"))
+    plans += [x._jdf.queryExecution().executedPlan().toString() for x in (decided, judged)]
+    assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
+
+
 @pytest.mark.parametrize("at_once", [1_000, 0])
 def test_both_ways_match_the_greedy_rule(spark, monkeypatch, at_once):
     monkeypatch.setattr(dedup, "AT_ONCE_ROWS", at_once)
