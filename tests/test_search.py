@@ -11,6 +11,7 @@ from turnstone.functions import text as tx
 from turnstone.operators import hybrid, postings, vector
 from turnstone.operators.tables import fresh_path
 from turnstone.plans.catalog import search as registered
+from turnstone.plans.catalog import tables
 from turnstone.settings import Settings
 
 SMALL = Settings(query_rows=3)
@@ -112,6 +113,29 @@ def test_shaping(spark):
     assert hybrid.passage_summary(enriched, q).first().summary == "4 passages from 3 episodes"
 
 
+def test_hits_thin_out_the_chunks_before_other_joins(spark):
+    """Chunks made by a join of texts to vectors: only the texts of hits reach that join."""
+    c, e, q = make(spark, CHUNKS, EPISODES, [("q", "growth loops", axis(3), *NONE)])
+    hits = hybrid.search(q, c, e).hits
+    want = hybrid.enrich(hits, c, e).collect()
+    joined = c.drop("embedding").join(c.select("chunk_id", "embedding"), "chunk_id", "left")
+    got = hybrid.enrich(hits, joined, e)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and plan.index("Join LeftSemi") > plan.index("Join LeftOuter")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want))
+
+
+def test_texts_of_chunks_repeat_as_their_vectors_do(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "src1", "a License"), (2, "src2", "b"), (2, "src2", "b"), (3, None, None), (None, "src4", "d")],
+                                 "doc_id long, source string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(i, [0.5]) for i in (1, 1, 1, 2, 2, 4, None, None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want, got = (t(spark, str(tmp_path)) for t in (tables.chunks, tables.chunk_texts))
+    assert got.columns == [x for x in want.columns if x != "embedding"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.drop("embedding").collect())) and got.count() == 9
+
+
 def brute(q, c, k):
     q, c = np.array(q, float), np.array(c, float)
     q /= np.linalg.norm(q, axis=1, keepdims=True)
