@@ -755,6 +755,17 @@ def test_model_is_a_distribution(spark):
     assert found[0] == pytest.approx(found[1]) and found[1] == pytest.approx(found[2])
 
 
+def test_the_whole_word_before_is_the_context(spark):
+    """``cat`` and ``bat`` end alike, but other words follow them: learned, the one that
+    does is likelier by far."""
+    _, model = learned(spark, ["cat sleeps cat sleeps cat sleeps", "bat flies bat flies bat flies"] * 5)
+    asked = ["cat sleeps", "cat flies", "bat sleeps", "bat flies"]
+    df = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    got = {asked[r.doc_id]: r.score for r in pitman_yor.score(df, model).collect()}
+    assert got["cat sleeps"] > got["cat flies"] + 1 and got["bat flies"] > got["bat sleeps"] + 1
+    assert pitman_yor.tokens_of(b"A cat") == ([b"a", b"cat", b""], [b"", b"a", b"cat"])
+
+
 def test_scores_against_the_base(spark, given_docs):
     got = queries.op10_pitman_yor(spark, SF).collect()
     counts = Counter()
