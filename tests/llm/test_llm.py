@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -217,6 +218,38 @@ def test_spread_edits_are_found_beside_others(spark, similarity, least):
     assert sum(v == 2 for v in sizes.values()) >= least * n
 
 
+def test_rounds_of_labels_end_when_they_settle_little(spark, monkeypatch):
+    """No leading pair is near here, and a round of labels settles one of 20 pairs: there is no
+    second one, and the last step finds the others."""
+    texts = [[f"own{i}x{k}" for k in range(60)] for i in range(20)]
+    texts += [t[:30] + ["changed"] + t[31:] for t in texts]
+    calls, real, old = [], order_minhash.verify, order_minhash._crossing_pairs
+
+    def verify(pairs, *a):
+        calls.append("pairs")
+        found = real(pairs, *a)
+        return found if "crossing" in calls else found.limit(len(calls) - 1 and 1)
+
+    monkeypatch.setattr(order_minhash, "verify", verify)
+    monkeypatch.setattr(order_minhash, "_crossing_pairs", lambda *a: calls.append("crossing") or old(*a))
+    assert near_classes(spark, [" ".join(t) for t in texts]) == {i: i % 20 for i in range(40)}
+    assert calls == ["pairs", "pairs", "crossing", "pairs"]
+
+
+def test_only_texts_of_pairs_travel(spark):
+    texts = spark.createDataFrame([(i, b"a b") for i in range(50)], "node long, words binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    joined = order_minhash._with_texts(pairs, texts)
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
+    assert sorted((r.a, r.b) for r in joined.collect()) == [(1, 2), (1, 3)]
+
+
+def test_equal_texts_of_a_task_leave_its_first_function_once():
+    batch = pa.RecordBatch.from_arrays([pa.array(["A b", "a, b", "c", None, ""])], names=["text"])
+    got = pa.Table.from_batches(order_minhash._worded(iter([batch, batch])))
+    assert got.column("words").to_pylist() == [b"a b", b"c", b""]
+
+
 def test_near_dedup_on_given_documents(spark, given_docs):
     """No pair of shingle similarity 0.8 or more is split between classes."""
     got = {r.doc_id: r for r in queries.op2_order_minhash(spark, SF).collect()}

@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from turnstone.llm.common import Scratch, first_per_task, light_pieces, pieces, utf8, written
 from turnstone.llm.components import components
+from turnstone.operators.bounds import fits
 
 WORDS = 3
 SKETCHES = 48
@@ -42,6 +43,7 @@ SIMILARITY = 0.8
 BITS, WIDE = 1024, 1024  # bits set and buckets counted by a text's words, to tell texts apart before they travel
 REMEMBER = 200_000
 FEW_EDITS = 16  # the first band an alignment tries
+WORTH = 0.9  # a round of pairs of labels is followed by another if it leaves less than this of the rows
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _known: dict[bytes, int] = {}
@@ -192,13 +194,18 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words joined by spaces: unlike their hashes, these can be compressed."""
-    for batch in light_pieces(batches, 0):
-        texts = utf8(batch.column(0))
-        words = [words_of(t) for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([node_digest(t, w) for t, w in zip(texts, words)], pa.binary()),
-             pa.array([b" ".join(w) for w in words], pa.binary())], names=["digest", "words"])
+    """Words joined by spaces: unlike their hashes, these can be compressed. Of a task's equal
+    texts the first, dropped here, as a second function would be a second worker per task."""
+
+    def worded() -> Iterator[pa.RecordBatch]:
+        for batch in light_pieces(batches, 0):
+            texts = utf8(batch.column(0))
+            words = [words_of(t) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([node_digest(t, w) for t, w in zip(texts, words)], pa.binary()),
+                 pa.array([b" ".join(w) for w in words], pa.binary())], names=["digest", "words"])
+
+    yield from first_per_task("digest")(worded())
 
 
 def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
@@ -294,6 +301,9 @@ def _compared(measure):
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` is a written table. Where its nodes are few, the other texts do not travel."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = texts.join(F.broadcast(nodes), "node", "left_semi") if fits(nodes) else texts
     left = texts.select(F.col("node").alias("a"), F.col("words").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("words").alias("right"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
@@ -305,6 +315,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float, scratch: Scrat
     def distance(a: np.ndarray, b: np.ndarray) -> int | None:
         return edits_within(a, b, limit_of(max(len(a), len(b)), similarity))
 
+    pairs = scratch.written(pairs, "possible")
     return scratch.written(_with_texts(pairs, texts).mapInArrow(_compared(distance), "a long, b long, d int"), "near")
 
 
@@ -395,22 +406,26 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     bits = scratch.written(sketched.select(F.col("row").alias("node"), "n", "wide", *SIGNS).join(live.select("node"), "node"), "bits")
     scratch.drop("sketches", "buckets")
 
-    worded = docs.select(F.col(text).alias("text")).mapInArrow(_worded, "digest binary, words binary")
-    once = worded.mapInArrow(first_per_task("digest"), "digest binary, words binary").join(live, "digest")
+    once = docs.select(F.col(text).alias("text")).mapInArrow(_worded, "digest binary, words binary").join(live, "digest")
     once = once.repartition("digest").mapInArrow(first_per_task("digest"), once.schema)
     texts = scratch.written(once.select("node", "words"), "texts")
 
-    # Large groups first, at a pair per node, then a pair per two labels while that
-    # merges any; what is left apart is compared pair by pair.
+    # Large groups first, at a pair per node, then a pair per two labels while that settles
+    # much; what is left apart is compared pair by pair, so when this ends changes no class.
     links = verify(_possible(_leading_pairs(keys), bits, similarity), texts, similarity, scratch)
     anchors = links.select(F.col("b").alias("node"), F.col("a").alias("anchor"), "d")
     labels = components(links.select("a", "b"))
     mixed = _mixed(keys, labels, scratch)
     scratch.drop("keys")
-    while not (more := verify(_possible(_label_pairs(mixed, scratch), bits, similarity), texts, similarity, scratch)).isEmpty():
+    before, left = None, mixed.count()
+    while left and (before is None or left < WORTH * before):
+        more = verify(_possible(_label_pairs(mixed, scratch), bits, similarity), texts, similarity, scratch)
+        if more.isEmpty():
+            break
         links = links.union(more)
         labels = components(links.select("a", "b"))
         mixed = _mixed(mixed, labels, scratch)
+        before, left = left, mixed.count()
     crossed = verify(_crossing_pairs(mixed, anchors, bits, similarity, scratch), texts, similarity, scratch)
     labels = components(links.union(crossed).select("a", "b"))
 
