@@ -108,6 +108,39 @@ def test_sequence_bounds_lose_no_alike_text():
     assert not rule.kept().holds("") and not rule.kept().holds("a")
 
 
+def test_sequence_rule_equals_the_plain_ratio(monkeypatch):
+    """Stretches of any size, ratios on the pair's own, and long texts in little time."""
+    rng = random.Random(2)
+    for small in (0, 1 << 14):
+        monkeypatch.setattr(dedup.LongestBlocks, "SMALL", small)
+        for size in (0, 1, 5, 40, 260) * 8:
+            a = "".join(rng.choice("ab \u00e9\U0001f600") for _ in range(size))
+            b = list(a)
+            for _ in range(rng.randrange(size // 4 + 2)):
+                at = rng.randrange(len(b) + 1)
+                b[at:at + rng.randrange(3)] = rng.choice(["", "x", "ab ", "".join(b[:7])])
+            b, blocks = "".join(b), dedup.LongestBlocks(a, "".join(b))
+            plain = difflib.SequenceMatcher(None, a, b, autojunk=False)
+            assert blocks.find(0, len(a), 0, len(b)) == tuple(plain.find_longest_match()), (a, b)
+            for ratio in (0.9, 0.5, plain.ratio(), plain.ratio() - 1e-9):
+                assert dedup.BySequence(ratio).alike(a, b) == (plain.ratio() > ratio), (a, b, ratio)
+    long = " ".join(rng.choice(["ship", "price", "team", "plan", str(i)]) for i in range(12_000))
+    assert dedup.BySequence(0.9).alike(long, long[:30_000] + "new" + long[30_100:])
+    assert not dedup.BySequence(0.9).alike(long, long[::-1])
+
+
+@pytest.mark.parametrize("same", [None, dedup.ByShingles(0.5)])
+def test_whole_texts_decide(spark, same):
+    """One beginning of over 3,000 characters, then something else; and the other way round."""
+    rng = random.Random(4)
+    talk = lambda: " ".join("".join(rng.choice("aeioubcdfg") for _ in range(5)) for _ in range(900))
+    a, b, c = talk(), talk(), talk()
+    rows = [("a", "G", "t", "v", a[:3200] + b), ("b", "G", "t", "v", a[:3200] + c), ("c", "G", "t", "v", c[:400] + b)]
+    df = spark.createDataFrame([(f"/c/{p}/transcript.md", *r) for p, *r in rows], COLUMNS)
+    found = {r.source_path[3]: r.decision for r in dedup.decide_copies(df, Settings(same_text_ratio=0.7), same).collect()}
+    assert found == {"a": "keep", "b": "keep", "c": "duplicate"}
+
+
 def test_shingle_index_counts_exact_overlap():
     rng = random.Random(8)
     rule = dedup.ByShingles(0.5)
