@@ -815,6 +815,26 @@ def test_scores_against_the_base(spark, given_docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_words_without_a_number_score_alike(spark, monkeypatch):
+    """However few words have numbers, and in however many waves tokens meet their pairs."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)] + ["long" * 30]
+    texts = [" ".join(vocabulary[int(300.99 * rng.random() ** 3)] for _ in range(rng.randrange(60))) for _ in range(150)]
+    found = []
+    for words, waves in ((1 << 18, 1), (40, 3)):
+        monkeypatch.setattr(pitman_yor, "WORDS", words)
+        monkeypatch.setattr(pitman_yor, "WAVES", waves)
+        monkeypatch.setattr(pitman_yor, "WAVE_TOKENS", 10)
+        docs, model = learned(spark, texts)
+        got = pitman_yor.score(docs, model, frequent=20).orderBy("doc_id").collect()
+        assert len(model.names.number.value) <= words
+        found.append(got)
+    for got in found[1:]:
+        assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(r.n_tokens, r.n_known, r.train_tokens) for r in found[0]]
+        assert [r.base_score for r in got] == pytest.approx([r.base_score for r in found[0]])
+        assert sum(r.score for r in got) == pytest.approx(sum(r.score for r in found[0]), rel=0.01)
+
+
 def test_model_of_awkward_rows(spark):
     docs = documents(spark)
     model = pitman_yor.fit(docs)
